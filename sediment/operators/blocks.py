@@ -20,26 +20,26 @@ def pack_blocks(entries: DataFrame, target: int = BLOCK_BYTES, by: str = "seg")
     one = F.lit(1).cast("long")
 
     def step(done, r):
-        last = F.element_at(done, -1)
-        fresh = (F.size(done) == 0) | (last["bytes"] + r["size"] > target)
+        last = F.try_element_at(done, F.lit(-1))
         opened = F.concat(done, F.array(F.struct(r["key"].alias("first_key"), one.alias("entries"), (r["size"] + 4).alias("bytes"))))
         grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["first_key"].alias("first_key"), (last["entries"] + 1).alias("entries"), (last["bytes"] + r["size"]).alias("bytes"))))
-        return F.when(F.size(done) == 0, opened).when(fresh, opened).otherwise(grown)
+        return F.when((F.size(done) == 0) | (last["bytes"] + r["size"] > target), opened).otherwise(grown)
 
-    packed = F.aggregate("rows", F.expr(empty), lambda d, r: F.when(F.size(d) == 0, F.array(F.struct(r["key"].alias("first_key"), one.alias("entries"), (r["size"] + 4).alias("bytes")))).otherwise(step(d, r)))
+    packed = F.aggregate("rows", F.expr(empty), step)
     return rows.select(by, F.posexplode(packed).alias("block_id", "b")).select(by, F.col("block_id").cast("long").alias("block_id"), "b.*")
 
 
 def floor_lookup(probes: DataFrame, index: DataFrame, on: str = "key", first: str = "first_key", salt: int = 64) -> DataFrame:
     """Adds the greatest ``first`` not after each probe key; null before the first.
 
-    Index and probes are merged in key order; each range partition's carry-in is the
-    last index key before it, one row a partition, so no nested loop and no single task.
+    Index and probes are merged in key order within buckets that each begin at an index
+    key, so a bucket needs nothing from the one before it: no nested loop and no single
+    task. The ``salt`` cut points are a bounded random pick and only balance the work.
     """
     kind = probes.schema[on].dataType
     merged = (index.select(F.col(first).alias(on), F.col(first).alias("_floor"), F.lit(0).alias("_probe")).distinct()
               .unionByName(probes.select(on, F.lit(None).cast(kind).alias("_floor"), F.lit(1).alias("_probe"))))
-    bounds = [r[0] for r in index.select(first).distinct().orderBy(first).collect()[:: max(1, index.count() // salt)]] if salt > 1 else []
+    bounds = sorted(r[0] for r in index.select(first).distinct().orderBy(F.rand(7)).limit(salt).collect())
     bucket = F.lit(0)
     for b in bounds:
         bucket = bucket + F.when(F.col(on) >= F.lit(b), 1).otherwise(0)
