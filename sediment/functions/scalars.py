@@ -4,6 +4,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DecimalType
 
 from sediment.model import ENTRY_HEADER, KIND_BYTES, PUT, WAL_CHECKSUM_SEED, WAL_OVERHEAD
 
@@ -75,7 +76,7 @@ def id_of_name(name: Column, pattern: str) -> Column:
     return F.regexp_extract(name, pattern, 1).try_cast("bigint")
 
 
-@pandas_udf("decimal(20,0)")
+@pandas_udf(DecimalType(20, 0))
 def xxh3(b: pd.Series) -> pd.Series:
     """XXH3-64 with the log's seed; Spark's own xxhash64 is another function."""
     from decimal import Decimal
