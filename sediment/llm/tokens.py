@@ -60,7 +60,11 @@ class Encoder(dict):
         s = chunk.decode("utf-8", "replace")
         found = _PIECE.findall(s) if self.direct and "<|" not in s else []
         if found and sum(map(len, found)) == len(s):
-            ids = b"".join([self.pieces.get(p) or self._piece(p) for p in [p.lower() for p in found]])
+            found = [p.lower() for p in found]
+            if len(found) == 1:
+                ids = self.pieces.get(found[0]) or self._piece(found[0])
+            else:  # a word with signs: the word alone may be known
+                ids = b"".join([self.pieces.get(p) or self.get(p.encode()) or self._piece(p) for p in found])
         else:
             ids = self._ids(self.tokenizer.encode(s, add_special_tokens=False).ids)
         if len(self) < MEMO_CHUNKS:
