@@ -28,7 +28,7 @@ from sediment.llm.common import stage
 #: Band of ln(N / df): from terms in a fifth of the documents to terms in one of 2000.
 MOST_SHARE, LEAST_SHARE = 0.2, 0.0005
 #: Share of the lexicon that each randomised lexicon keeps; the first is the whole one.
-KEPT = (1.0, *[1 / 8] * 3, *[1 / 32] * 8, *[1 / 128] * 20)
+KEPT = (1.0, *[1 / 8] * 3, *[1 / 32] * 10, *[1 / 128] * 14, *[1 / 512] * 12)
 BROADCAST_TERMS = 1_000_000
 SEED = 2024
 PART, BLANK = 8, "--------"
