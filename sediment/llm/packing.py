@@ -1,9 +1,8 @@
 """Lexical retrieval packing: BM25 neighbours of a seed document fill its window.
 
 Documents are tokenized once. Document frequencies and lengths come from the whole
-corpus; a document's two heaviest tf-idf terms are its sort key, so that range
-partitions hold related documents while a common key still spreads over many
-partitions. Each task cuts its sorted run into shards of bounded size, builds a BM25
+corpus; two heavy terms of a document are its sort key, so that range partitions hold
+related documents while a common key still spreads over many partitions. Each task cuts its sorted run into shards of bounded size, builds a BM25
 inverted index of each, and fills windows greedily: seed, then its unused neighbours
 by falling score, then any unused ones; the last is cut to fit and its rest is the
 next seed. Text that fills whole windows by itself needs no neighbours.
@@ -23,8 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sediment.llm.common import new_path, stage
-from sediment.llm.token_store import tokenize
+from sediment.llm.common import stage, text_bytes
 from sediment.llm.tokens import encoder
 
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
@@ -33,27 +31,53 @@ K1, B = 1.2, 0.75
 NEIGHBOURS = 64
 
 
-def corpus_statistics(tokens: DataFrame, size: int, dtype: str) -> tuple[np.ndarray, int, float]:
-    """(documents holding each id, documents, mean length) over all documents."""
+def prepare(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """(doc_id, ids, k1, k2) of every text, and a task's document frequencies in a row with k1 = -1.
+
+    A document's terms are counted once: for the frequencies, and for its sort key, the
+    two terms of greatest count times log id. Ids follow the order of the vocabulary's
+    merges, so a high one is a rare term even before the frequencies are known.
+    """
+    def run(batches):
+        enc = encoder(tokenizer)
+        size, dtype = enc.tokenizer.get_vocab_size(with_added_tokens=True), enc.dtype
+        end, rarity = np.array([end_id], dtype).tobytes(), np.log1p(np.arange(size))
+        total, n, held = np.zeros(size + 2, np.int64), 0, 0
+        for b in batches:
+            ids = [enc.encode(t.as_py()) + end for t in b.column(1)]
+            keys = np.zeros((len(ids), 2), np.int32)
+            for row, x in zip(keys, ids):
+                t, c = np.unique(np.frombuffer(x, dtype), return_counts=True)
+                total[t] += 1
+                w = c * rarity[t]
+                row[0] = t[w.argmax()]
+                if len(t) > 1:
+                    w[w.argmax()] = -1
+                    row[1] = t[w.argmax()]
+                held += c.sum()
+            n += len(ids)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "ids": pa.array(ids, pa.binary()), "k1": pa.array(keys[:, 0]), "k2": pa.array(keys[:, 1])})
+        total[size:] = n, held
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None], pa.int64()), "ids": pa.array([total.astype("<i8").tobytes()], pa.binary()), "k1": pa.array([-1], pa.int32()), "k2": pa.array([-1], pa.int32())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, ids binary, k1 int, k2 int")
+
+
+def corpus_statistics(prepared: DataFrame, size: int) -> tuple[np.ndarray, int, float]:
+    """(documents holding each id, documents, mean length) over all documents: the tasks' vectors summed."""
     def run(batches):
-        total, n, held = np.zeros(size, np.int64), 0, 0
+        total = np.zeros(size + 2, np.int64)
         for b in batches:
             for x in b.column(0):
-                ids = np.frombuffer(x.as_buffer(), dtype)
-                total[np.unique(ids)] += 1
-                n, held = n + 1, held + len(ids)
+                total += np.frombuffer(x.as_buffer(), "<i8")
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": pa.array([*at, -1, -2], pa.int64()), "n": pa.array([*total[at], n, held], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
-    df, n, held = np.zeros(size, np.int64), 0, 0
-    for r in tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
-        if r["id"] == -1:
-            n = r["n"]
-        elif r["id"] == -2:
-            held = r["n"]
-        else:
-            df[r["id"]] = r["n"]
-    return df, n, held / max(1, n)
+    out = np.zeros(size + 2, np.int64)
+    for r in prepared.where("k1 = -1").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
+        out[r["id"]] = r["n"]
+    n, held = out[size:].tolist()
+    return out[:size], n, held / max(1, n)
 
 
 class Shard:
@@ -194,20 +218,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096) -
     spark = docs.sparkSession
     enc = encoder(tokenizer)
     size, dtype = enc.tokenizer.get_vocab_size(with_added_tokens=True), enc.dtype.str
-    tokens = stage(tokenize(docs, tokenizer, end_id).select("doc_id", "ids"), "packing-ids", new_path(spark, "packing-ids"))
-    df, n, mean = corpus_statistics(tokens, size, dtype)
+    tokens = stage(prepare(docs, tokenizer, end_id), "packing-ids")
+    df, n, mean = corpus_statistics(tokens, size)
     at = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
 
-    def keyed(batches):
-        idf = at.value
-        for b in batches:
-            keys = []
-            for x in b.column(1):
-                t, c = np.unique(np.frombuffer(x.as_buffer(), dtype), return_counts=True)
-                w = c * idf[t]
-                keys.append([*t[np.argsort(-w, kind="stable")[:2]].tolist(), 0][:2])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32())], ["doc_id", "ids", "k1", "k2"])
-
     def run(batches):
         from pyspark import TaskContext
 
@@ -227,7 +241,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096) -
         yield packer.batch()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = tokens.mapInArrow(keyed, "doc_id long, ids binary, k1 int, k2 int").repartitionByRange(parts, "k1", "k2", "doc_id", F.xxhash64("ids")).sortWithinPartitions("k1", "k2", "doc_id", "ids")
+    near = tokens.where("k1 >= 0").repartitionByRange(parts, "k1", "k2", "doc_id", F.xxhash64("ids")).sortWithinPartitions("k1", "k2", "doc_id", "ids")
     return near.select("doc_id", "ids").mapInArrow(run, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
