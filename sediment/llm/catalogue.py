@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sediment.llm import imatch, nbest, packing, quality, simhash, token_store, topk, toxicity, warc
+from sediment.llm import imatch, lm, nbest, packing, quality, simhash, token_store, topk, toxicity, warc
 from sediment.llm.common import crc_mod, new_path, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,11 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(token_store.read_store(spark, path))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2, TOKENIZER)
+    return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
@@ -54,7 +59,7 @@ def op10_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest.digests(nbest.encode(table(spark, sf_dir, "documents"), PIECES, n=3))
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op3_top_k": op3_top_k, "op4_toxicity": op4_toxicity, "op5_imatch": op5_imatch, "op6_packing": op6_packing, "op7_warc": op7_warc,
+QUERIES = {"op1_token_store": op1_token_store, "op2_lm": op2_lm, "op3_top_k": op3_top_k, "op4_toxicity": op4_toxicity, "op5_imatch": op5_imatch, "op6_packing": op6_packing, "op7_warc": op7_warc,
            "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_nbest": op10_nbest}
 
 # SQL for the parts of a query that SQL can state; see the tests for the rest.

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sediment.session import ship
+
 #: ASCII white space; every other byte belongs to a word.
 SPACE = "\x20\t\n\x0b\x0c\r"
 
@@ -80,7 +82,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(ship(spark))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
