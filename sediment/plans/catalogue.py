@@ -8,6 +8,7 @@ from sediment.model import MANIFEST_ADD, MANIFEST_REMOVE, PUT, TOMBSTONE
 from sediment.operators import blocks, bloom, manifest, resolve, segments
 from sediment.operators.changelog import events_log, with_sizes
 from sediment.plans import recovery, workloads
+from sediment.session import ship
 
 
 def _events(spark: SparkSession, d: str, per_segment: int = 50) -> DataFrame:
@@ -114,6 +115,7 @@ def rotation(spark, d):
 
 
 def rotation_overwrites(spark, d):
+    ship(spark)
     return segments.rotation_points(with_sizes(_events(spark, d)), 2048).select("seg", "last_seq", "bytes")
 
 
@@ -174,7 +176,7 @@ def hot_index(spark, d):
 def wal_checksum(spark, d):
     """XXH3 over each put's key and value, and whether a flipped byte is noticed."""
     payload = F.concat(F.col("key").cast("binary"), F.coalesce(F.col("value"), F.lit("")).cast("binary"))
-    e = _events(spark, d).select("seq", payload.alias("b"), F.concat(payload, F.lit(b"\x01")).alias("bad"))
+    e = _events(ship(spark), d).select("seq", payload.alias("b"), F.concat(payload, F.lit(b"\x01")).alias("bad"))
     return e.select("seq", S.xxh3("b").alias("checksum"), (S.xxh3("b") != S.xxh3("bad")).alias("tamper_seen"))
 
 
