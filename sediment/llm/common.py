@@ -92,6 +92,17 @@ def text_bytes(c: Column | str = "text") -> Column:
     return F.coalesce(c.cast("binary"), F.lit(b""))
 
 
+def renamed(docs: DataFrame) -> list[Column]:
+    """All columns under names that no operator uses; ``toDF(*docs.columns)`` undoes it."""
+    return [docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+
+
+def with_text(docs: DataFrame, columns: list[Column]) -> tuple[DataFrame, str]:
+    """The columns and, last, the text as bytes; and the columns' part of a schema string."""
+    plan = docs.select(*columns, text_bytes().alias("_text"))
+    return plan, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plan.schema.fields[:-1])
+
+
 def crc_mod(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n (a null id: of the empty text)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

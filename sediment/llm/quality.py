@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sediment.llm.common import stage, text_bytes
+from sediment.llm.common import stage, text_bytes, with_text
 
 BUCKETS = 1 << 16
 SHAPES = 1 << 12
@@ -171,11 +171,10 @@ def choose(ratio: np.ndarray, found: list[tuple[np.ndarray, int]]) -> float:
     return float((bad.max() + most) / 2) if len(bad) else float(most) - 1e-9
 
 
-def weigh(docs: DataFrame, model: Model, carry: list[str] = ()) -> DataFrame:
+def weigh(docs: DataFrame, model: Model, carry: list = ()) -> DataFrame:
     """(carry..., log_weight, n_features, mean_ratio, accepted) of every text."""
     at = docs.sparkSession.sparkContext.broadcast(model)
-    plan = docs.select(*carry, text_bytes().alias("_text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plan.schema if f.name != "_text")
+    plan, kinds = with_text(docs, [F.col(c) if isinstance(c, str) else c for c in carry])
 
     def run(batches):
         m = at.value

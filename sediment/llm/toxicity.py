@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sediment.llm.common import text_bytes
+from sediment.llm.common import text_bytes, with_text
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 FEATURES = 4
@@ -275,12 +275,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None) -> Model:
     return train([bytes(r["text"]) for r in rows], np.array([r["toxic"] for r in rows], np.int64), [r["lang"] for r in rows])
 
 
-def score(docs: DataFrame, model: Model, carry: list[str] = ()) -> DataFrame:
-    """(doc_id, score, predicted) of every whole text, with the columns to carry."""
+def score(docs: DataFrame, model: Model, carry: list = ()) -> DataFrame:
+    """(doc_id, or the columns to carry; score, predicted) of every whole text."""
     at = docs.sparkSession.sparkContext.broadcast(model)
-    cols = [F.col("doc_id").cast("long").alias("doc_id"), *carry]
-    plan = docs.select(*cols, text_bytes().alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plan.schema if f.name != "_text")
+    plan, kinds = with_text(docs, [F.col("doc_id").cast("long").alias("doc_id")] if not carry else [F.col(c) if isinstance(c, str) else c for c in carry])
 
     def run(batches):
         for b in batches:
@@ -288,4 +286,4 @@ def score(docs: DataFrame, model: Model, carry: list[str] = ()) -> DataFrame:
             s = at.value.scores(texts).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*b.schema.names[:-1], "score", "predicted"])
 
-    return plan.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return plan.mapInArrow(run, f"{kinds}score double, predicted int")
