@@ -32,14 +32,16 @@ from sediment.llm.common import text_bytes, with_text
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 8
 FEATURES = 4
 #: Labelled documents learned from at most, of each class, and the words of one of them.
-SAMPLE = {1: 3000, 0: 5000}
+SAMPLE = {1: 2000, 0: 3000}
 SAMPLE_WORDS = 30_000
 #: Passes over the sample, or as many as make LEAST_STEPS steps.
 EPOCHS, LEAST_STEPS, BATCH, RATE = 5, 700, 32, 0.01
 #: Documents of the sample that have to share a bucket before it is learned.
-LEAST_DOCUMENTS = 4
+LEAST_DOCUMENTS = 6
 #: Share of the words blanked in a training step, so that no word is learned only in another's company.
 DROP = 0.4
+#: What embeddings, filters and output weights lose in a step.
+DECAY = 0.005
 MEMO_WORDS = 400_000
 TOKENS = 100_000
 _STRIP = b" .,;:!?\"'()[]{}<>|*#$%&-_"
@@ -220,6 +222,7 @@ def train(texts: list[bytes], toxic: np.ndarray, langs: list[str], seed: int = 7
                 a, b = m[k]
                 a += 0.1 * (g[k] - a)
                 b += 0.001 * (g[k] ** 2 - b)
+                x *= 1 - (DECAY if k in ("e", "w", "v") else 0)
                 x -= RATE * (a / (1 - 0.9 ** step)) / (np.sqrt(b / (1 - 0.999 ** step)) + 1e-8)
     # languages: naive Bayes over hashed buckets
     counts = np.ones((BUCKETS, len(languages)))
