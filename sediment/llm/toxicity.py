@@ -37,7 +37,7 @@ SAMPLE_WORDS = 30_000
 #: Passes over the sample, or as many as make LEAST_STEPS steps.
 EPOCHS, LEAST_STEPS, BATCH, RATE = 5, 700, 32, 0.01
 #: Documents of the sample that have to share a bucket before it is learned.
-LEAST_DOCUMENTS = 6
+LEAST_DOCUMENTS = 8
 #: Share of the words blanked in a training step, so that no word is learned only in another's company.
 DROP = 0.4
 #: What embeddings, filters and output weights lose in a step.
