@@ -76,6 +76,11 @@ def id_of_name(name: Column, pattern: str) -> Column:
     return F.regexp_extract(name, pattern, 1).try_cast("bigint")
 
 
+def printable(value: Column) -> Column:
+    """Bytes as text, with what isn't UTF-8 replaced."""
+    return F.make_valid_utf8(value.cast("string"))
+
+
 @pandas_udf(DecimalType(20, 0))
 def xxh3(b: pd.Series) -> pd.Series:
     """XXH3-64 with the log's seed; Spark's own xxhash64 is another function."""

@@ -86,3 +86,18 @@ class Files:
 
     def delete(self, name: str) -> None:
         self._fs.delete(self.path(name), True)
+
+
+def write_sstables(entries: DataFrame, files: Files, folder: str = "", target: int = codec.M.BLOCK_BYTES) -> None:
+    """Writes (file_id, key, kind, value) rows as sorted segment files in the byte format.
+
+    A segment is encoded whole by one task, as the format is one file a segment; segments
+    are memtable-sized. The driver writes one at a time and never holds them all.
+    """
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted((bytes(k), int(kind), None if v is None else bytes(v)) for k, kind, v in zip(pdf["key"], pdf["kind"], pdf["value"]))
+        return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "content": [codec.encode_sstable(rows, target)]})
+
+    ship(entries.sparkSession)
+    for r in entries.groupBy("file_id").applyInPandas(run, "file_id long, content binary").toLocalIterator():
+        files.write(f"{folder}/{r['file_id']:020}.sst".lstrip("/"), bytes(r["content"]))
