@@ -21,6 +21,7 @@ segmented whole; a text that holds the space sign itself decodes to a space ther
 """
 from __future__ import annotations
 
+import gc
 import re
 from bisect import insort
 from collections.abc import Iterator
@@ -34,13 +35,13 @@ from sediment.llm.common import text_bytes
 SIGN = "▁"
 UNKNOWN = 10.0
 NEVER = float("-inf")
-MEMO = 400_000
+MEMO = 450_000
 BATCH_ROWS = 512
 _models: dict = {}
 
 
 class Pieces(dict):
-    """stretch -> its segmentations [(score, ids as little-endian bytes, pieces)], best first."""
+    """stretch -> (best score, its ids as little-endian bytes, least loss, others as (loss, ids))."""
 
     def __init__(self, path: str, n: int):
         import sentencepiece
@@ -59,6 +60,9 @@ class Pieces(dict):
             elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
                 self.piece[s] = (p.get_score(i), i)
                 self.bytes_of[i] = s.replace(SIGN, " ").encode()
+        self.letters = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.sizes = np.array([len(b) for b in self.bytes_of], np.int32)
+        self.places = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
         ordinary = [s for s, _ in self.piece.values() if s > -1e8]
         self.unknown = min(ordinary, default=0.0) - UNKNOWN
         self.longest = max(map(len, self.piece), default=1)
@@ -152,33 +156,39 @@ class Pieces(dict):
         return out
 
     def __missing__(self, s: str):
-        got = [(score, np.array(ids, self.dtype).tobytes(), len(ids)) for score, ids in self.search(s)]
-        got = (got[0][0], got[0][1], got[0][0] - got[1][0] if len(got) > 1 else np.inf, got)
+        found = self.search(s)
+        best, ids = found[0]
+        other = tuple([(best - score, np.array(x, self.dtype).tobytes()) for score, x in found[1:]])
+        got = (best, np.array(ids, self.dtype).tobytes(), other[0][0] if other else np.inf, other)
         if len(self) < MEMO:
             self[s] = got
         return got
 
     def segment(self, text: str) -> list[tuple[float, bytes]]:
         """The n best (score, ids) of a whole text."""
-        found = [self[s] for s in self.stretches(text)]
-        total = float(sum([x[0] for x in found]))
-        ids = [x[1] for x in found]
-        out = [(total, b"".join(ids))]
-        if self.n == 1 or not found:
+        found = list(map(self.__getitem__, self.stretches(text)))
+        if not found:
+            return [(0.0, b"")]
+        scores, ids, gaps, others = zip(*found)
+        total, whole = float(sum(scores)), b"".join(ids)
+        out = [(total, whole)]
+        if self.n == 1:
             return out
-        gaps = np.array([x[2] for x in found])
+        gaps = np.array(gaps)
         first = np.argsort(gaps, kind="stable")[:self.n - 1] if len(gaps) < 64 else self._least(gaps)
-        single = sorted((found[i][0] - alt[0], int(i), j) for i in first.tolist() for j, alt in enumerate(found[i][3]) if j)[:self.n - 1]
+        single = sorted((loss, i, j) for i in first.tolist() for j, (loss, _) in enumerate(others[i]))[:self.n - 1]
         # sums over sets of deviations at different places, least first
         sums: list[tuple[float, tuple]] = [(0.0, ())]
         for place in sorted({i for _, i, _ in single}):
             more = [(loss + gap, (*picked, (place, j))) for loss, picked in sums for gap, i, j in single if i == place]
             sums = sorted(sums + more)[:self.n]
+        ends = {i: sum(map(len, ids[:i])) for i in {i for _, picked in sums for i, _ in picked}}
         for loss, picked in sums[1:]:
-            other = ids.copy()
+            parts, at = [], 0
             for i, j in picked:
-                other[i] = found[i][3][j][1]
-            out.append((total - loss, b"".join(other)))
+                parts += [whole[at:ends[i]], others[i][j][1]]
+                at = ends[i] + len(ids[i])
+            out.append((total - loss, b"".join([*parts, whole[at:]])))
         return out
 
     def _least(self, gaps: np.ndarray) -> np.ndarray:
@@ -186,10 +196,18 @@ class Pieces(dict):
         below = np.flatnonzero(gaps < kth)
         return np.concatenate([below, np.flatnonzero(gaps == kth)[:self.n - 1 - len(below)]])
 
-    def decode(self, ids: bytes) -> bytes:
-        """UTF-8 bytes of a segmentation."""
-        out = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, self.dtype).tolist()))
-        return out[1:] if out[:1] == b" " else out
+    def decode(self, ids: bytes, step: int = 1 << 18) -> bytes:
+        """UTF-8 bytes of a segmentation: each id's bytes, gathered by table."""
+        x, out = np.frombuffer(ids, self.dtype), []
+        for i in range(0, len(x), step):
+            some = x[i:i + step]
+            size = self.sizes[some]
+            ends = np.cumsum(size, dtype=np.int32)
+            at = np.repeat(self.places[some] - (ends - size), size)
+            at += np.arange(len(at), dtype=np.int32)
+            out.append(self.letters[at].tobytes())
+        text = b"".join(out)
+        return text[1:] if text[:1] == b" " else text
 
 
 def pieces(path: str, n: int) -> Pieces:
@@ -205,6 +223,7 @@ def encode(docs: DataFrame, model: str, n: int = 3) -> DataFrame:
     """
     def run(batches) -> Iterator[pa.RecordBatch]:
         p = pieces(model, n)
+        gc.disable()  # nothing here makes cycles, and the kept stretches are many objects to walk
         for b in batches:
             rows, held = [], 0
 
@@ -223,6 +242,7 @@ def encode(docs: DataFrame, model: str, n: int = 3) -> DataFrame:
                     yield flush()
                     rows, held = [], 0
             yield flush()
+        gc.enable()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, rank int, score double, ids binary, decoded binary, round_trip boolean")
 
