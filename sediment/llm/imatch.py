@@ -4,8 +4,8 @@ Terms are a text's lower-case runs of letters and digits. The lexicon holds the
 whose inverse document frequency ln(N / df) over the whole corpus lies in a band; a
 term above its lower share of documents can't be rarer than that, so the lexicon has
 at most (mean distinct terms of a document) / ``LEAST_SHARE`` terms, and is broadcast
-only behind a count of it. Each of ``len(KEPT)`` randomised lexicons keeps a share of
-the lexicon by a hash of the term. A text's fingerprint has one part a lexicon: the
+only behind a count of it. The randomised lexicons are the whole one and ``LEVELS``
+that each keep a share of it, by bits of a hash of the term. A text's fingerprint has one part a lexicon: the
 hash of its sorted distinct terms in it, or a blank if it has none. Lexicons that keep
 few terms still agree when texts share only part of theirs, so the share of equal
 parts, out of those that aren't blank in both, grades how alike two texts are.
@@ -27,8 +27,9 @@ from sediment.llm.common import stage
 
 #: Band of ln(N / df): from terms in a fifth of the documents to terms in one of 2000.
 MOST_SHARE, LEAST_SHARE = 0.2, 0.0005
-#: Share of the lexicon that each randomised lexicon keeps; the first is the whole one.
-KEPT = (1.0, *[1 / 8] * 3, *[1 / 32] * 10, *[1 / 128] * 14, *[1 / 512] * 12)
+#: Lexicons: the whole one, then for each (bits, count) that many which keep 1 of 2^bits terms.
+LEVELS = ((3, 3), (5, 10), (7, 14), (9, 12))
+LEXICONS = 1 + sum(n for _, n in LEVELS)
 BROADCAST_TERMS = 1_000_000
 SEED = 2024
 PART, BLANK = 8, "--------"
@@ -42,42 +43,53 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, count: int) -> DataFrame:
-    """(term, mark, mask): the band's terms, their hash, and the lexicons that keep them as bits."""
+    """(term, mark): the band's terms and their hashes; the anchor's is -1."""
     df = docs.select(F.explode(terms(F.col("text"))).alias("term")).where(F.col("term") != ANCHOR).groupBy("term").agg(F.count("*").alias("df"))
     band = df.where((F.col("df") >= LEAST_SHARE * count) & (F.col("df") <= F.greatest(F.lit(MOST_SHARE * count), F.lit(1.0)))).select("term")
     anchor = docs.sparkSession.range(1).select(F.lit(ANCHOR).alias("term"))
-    mask = F.lit(0).cast("long")
-    for k, share in enumerate(KEPT):
-        keeps = F.lit(True) if share >= 1 else F.pmod(F.xxhash64(F.lit(SEED + k), "term"), F.lit(1 << 20)) < int(share * (1 << 20))
-        mask = mask.bitwiseOR(F.when(keeps & (F.col("term") != ANCHOR), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-    return stage(band.unionByName(anchor).select("term", F.xxhash64(F.lit(SEED), "term").alias("mark"), mask.alias("mask")), "imatch-lexicon")
+    mark = F.when(F.col("term") == ANCHOR, F.lit(-1)).otherwise(F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "term"), 1))
+    return stage(band.unionByName(anchor).select("term", mark.cast("long").alias("mark")), "imatch-lexicon")
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def fingerprints(texts: DataFrame, keys: list[str], body: str, lex: DataFrame) -> DataFrame:
     """(keys..., fingerprint) of each row's text; the keys tell rows apart."""
     if lex.count() <= BROADCAST_TERMS:
         lex = F.broadcast(lex)
-    words = texts.select(*keys, F.xxhash64(body).alias("_whole"), F.explode(F.array_union(terms(F.col(body)), F.array(F.lit(ANCHOR)))).alias("term"))
-    held = words.join(lex, "term").groupBy(*keys, "_whole").agg(F.collect_list(F.struct("mark", "mask")).alias("_held"))
-    ordered = F.array_sort(F.array_distinct(F.filter("_held", lambda x: x["mask"] != 0)))
-    part = lambda h: F.lower(F.substring(F.lpad(F.hex(h), 16, "0"), 1 + PART, PART))
+    words = texts.select(*keys, F.xxhash64(body).alias("_whole"), F.explode(F.concat(terms(F.col(body)), F.array(F.lit(ANCHOR)))).alias("term"))
+    held = words.join(lex, "term").groupBy(*keys, "_whole").agg(F.collect_list("mark").alias("_held"))
+    # a lexicon keeps the terms in which some bits of the hash have one value; each level reads bits of its own
+    blank = F.xxhash64(F.expr("cast(array() as array<bigint>)"))
+    part = lambda h: F.when(h == blank, F.lit(BLANK)).otherwise(F.lower(F.substring(F.lpad(F.hex(h), 16, "0"), 1 + PART, PART)))
+
+    def level(marks, shift, bits, count):
+        bucket = lambda x: F.shiftright(x, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+        some = F.filter(marks, lambda x: bucket(x) < count)
+        return bound(some, lambda kept: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: part(F.xxhash64(F.filter(kept, lambda x: bucket(x) == k)))))
 
-    def one(k):
-        marks = F.transform(F.filter("_terms", lambda x: F.getbit(x["mask"], k) == 1), lambda x: x["mark"])
-        return F.when(F.size(marks) > 0, part(F.xxhash64(marks))).otherwise(F.lit(BLANK))
+    def parts(marks):
+        out, shift = [F.array(part(F.xxhash64(marks)))], 0
+        for bits, count in LEVELS:
+            out.append(level(marks, shift, bits, count))
+            shift += bits
+        return F.array_join(F.concat(*out), "")
 
-    parts = F.transform(F.sequence(F.lit(0), F.lit(len(KEPT) - 1)), one)
-    bare = F.concat(part(F.col("_whole")), F.lit(BLANK * (len(KEPT) - 1)))
-    return (held.withColumn("_terms", ordered).withColumn("fingerprint", F.when(F.size("_terms") > 0, F.array_join(parts, "")).otherwise(bare)).select(*keys, "fingerprint"))
+    bare = F.concat(F.lower(F.substring(F.lpad(F.hex("_whole"), 16, "0"), 1 + PART, PART)), F.lit(BLANK * (LEXICONS - 1)))
+    ordered = F.array_sort(F.array_distinct(F.filter("_held", lambda x: x >= 0)))
+    return held.select(*keys, bound(ordered, lambda marks: F.when(F.size(marks) > 0, parts(marks)).otherwise(bare)).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal parts among those that aren't blank in both fingerprints."""
-    slot = lambda c, i: F.substr(c, i * PART + 1, F.lit(PART))
-    spots = F.sequence(F.lit(0), F.lit(len(KEPT) - 1))
-    used = F.size(F.filter(spots, lambda i: (slot(a, i) != BLANK) | (slot(b, i) != BLANK)))
-    same = F.size(F.filter(spots, lambda i: (slot(a, i) != BLANK) & (slot(a, i) == slot(b, i))))
-    return same.cast("double") / used
+    spots = F.sequence(F.lit(0), F.lit(LEXICONS - 1))
+    parts = lambda c: F.transform(spots, lambda i: F.substr(c, i * PART + 1, F.lit(PART)))
+    # 0: blank in both, 1: equal, 2: different
+    kinds = F.zip_with(parts(a), parts(b), lambda x, y: F.when(x != y, 2).when(x == BLANK, 0).otherwise(1))
+    return bound(kinds, lambda z: F.size(F.filter(z, lambda k: k == 1)).cast("double") / F.size(F.filter(z, lambda k: k > 0)))
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -92,9 +104,9 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 def with_next(ordered: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``next_<c>`` for each column: its value in the following row, after the last the first."""
-    spark = ordered.sparkSession
-    heads = ordered.groupBy("part").agg(F.min("at").alias("at")).orderBy("part").collect()  # one row a partition
-    before = spark.createDataFrame([(heads[i]["at"], heads[i - 1]["part"]) for i in range(len(heads))], "at long, _to int")
+    heads = ordered.groupBy("part").agg(F.min("at").alias("at"))  # one row a partition
+    last = F.max("part").over(Window.partitionBy())
+    before = heads.select("at", F.coalesce(F.lag("part").over(Window.orderBy("part")), last).alias("_to"))
     copy = ordered.join(F.broadcast(before), "at").withColumn("part", F.col("_to")).withColumn("_copy", F.lit(True)).drop("_to")
     rows = ordered.withColumn("_copy", F.lit(False)).unionByName(copy)
     w = Window.partitionBy("part").orderBy("_copy", "at")
