@@ -34,8 +34,19 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, rows)
 
 
+#: Folders made by this process; results read them lazily, so they stay until ``release``.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every staged folder, once the results that read them are no longer needed."""
+    while _made:
+        drop_path(spark, _made.pop())
 
 
 class _Shuffles:
