@@ -145,8 +145,8 @@ class _Links:
         return settle(a, b, self.n)
 
 
-def search(fp: np.ndarray, home: np.ndarray, queries: np.ndarray, distance: int, links: _Links) -> None:
-    """Links each query (an index) to each home fingerprint within the distance."""
+def search(fp: np.ndarray, home: np.ndarray, queries: np.ndarray, distance: int, links: _Links, check=None) -> None:
+    """Links each query (an index) to each home fingerprint within the distance, if ``check`` holds for the pair."""
     if not len(home) or not len(queries):
         return
     if len(home) > LEAF and len(queries) > 1:
@@ -156,8 +156,8 @@ def search(fp: np.ndarray, home: np.ndarray, queries: np.ndarray, distance: int,
         near = d <= r
         if 0 < near.sum() < len(home):
             q = np.bitwise_count(fp[queries] ^ v).astype(np.int64)
-            search(fp, home[near], queries[q - distance <= r], distance, links)
-            search(fp, home[~near], queries[q + distance > r], distance, links)
+            search(fp, home[near], queries[q - distance <= r], distance, links, check)
+            search(fp, home[~near], queries[q + distance > r], distance, links, check)
             return
     h = fp[home]
     for i in range(0, len(queries), 2048):
@@ -165,7 +165,7 @@ def search(fp: np.ndarray, home: np.ndarray, queries: np.ndarray, distance: int,
         for j in range(0, len(h), 2048):
             x, y = np.nonzero(np.bitwise_count(fp[q][:, None] ^ h[None, j:j + 2048]) <= distance)
             x, y = q[x], home[j + y]
-            real = x != y
+            real = x != y if check is None else (x != y) & check(x, y)
             links.add(x[real], y[real])
 
 
