@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Chunks that a worker keeps; beyond it new chunks are encoded anew each time.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 500_000
 # Latin letters whose lower case and composition don't depend on their neighbours.
 _PIECE = re.compile("[a-zA-ZÀ-ÖØ-öø-įĲ-ňŊ-ɏ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
 _encoders: dict = {}
