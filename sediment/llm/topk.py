@@ -183,13 +183,13 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
         return want
 
     def ask(limits):
-        """(ring, ids, m) of the query vectors that each ring has to answer."""
+        """(ring, qids, q, least) of the query vectors that each ring has to answer, and the least score of use."""
         def run(batches):
             for b in batches:
                 for r in b.to_pylist():
                     ids, m = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["m"], "<f8").reshape(-1, dim)
                     lb = bounds(m)
-                    want = nearest(lb)
+                    want, s = nearest(lb), np.full(len(ids), -np.inf)
                     if limits:
                         # no k-th score yet: every ring; a hair of slack for rounding, never less than the bound
                         s = np.frombuffer(r["kth"], "<f8")
@@ -197,7 +197,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
                         want = (lb <= far[:, None] * (1 + 1e-9) + 1e-6 * (1 + np.sqrt(at.value.greatest))) & ~want
                     use = np.flatnonzero(want.any(0))
                     for some in (use[i:i + 16] for i in range(0, len(use), 16)):
-                        yield pa.RecordBatch.from_pydict({"ring": pa.array(rings[some].astype(np.int32)), "qids": pa.array([ids[want[:, j]].tobytes() for j in some], pa.binary()), "q": pa.array([m[want[:, j]].tobytes() for j in some], pa.binary())})
+                        yield pa.RecordBatch.from_pydict({"ring": pa.array(rings[some].astype(np.int32)), "qids": pa.array([ids[want[:, j]].tobytes() for j in some], pa.binary()), "q": pa.array([m[want[:, j]].tobytes() for j in some], pa.binary()),
+                                                          "least": pa.array([s[want[:, j]].tobytes() for j in some], pa.binary())})
         return run
 
     def answer(batches):
@@ -205,10 +206,10 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
             for r in b.to_pylist():
                 qi, q = np.frombuffer(r["qids"], "<i8"), np.frombuffer(r["q"], "<f8").reshape(-1, dim)
                 xi, x = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["m"], "<f8").reshape(-1, dim)
-                s = inner(q, x)
+                s, least = inner(q, x), np.frombuffer(r["least"], "<f8")
                 rows = []
                 for i, own in enumerate(qi):
-                    other = np.flatnonzero(xi != own)
+                    other = np.flatnonzero((xi != own) & (s[i] >= least[i]))
                     top = other[best(s[i, other], xi[other], k)]
                     rows.append((np.full(len(top), own), xi[top], s[i, top]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows)], ["query_id", "vec_id", "score"])
@@ -220,7 +221,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_
         w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    work = "ring int, qids binary, q binary"
+    work = "ring int, qids binary, q binary, least binary"
     first = answers(queries.mapInArrow(ask(False), work))
     kth = ranked(first).groupBy("query_id").agg(F.min("score").alias("s"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("s")).alias("s"))
 
