@@ -103,6 +103,14 @@ def test_components_of_long_chains(spark):
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}, 300: 300, 301: 300}
 
 
+def test_components_of_shuffled_chains(spark):
+    """Random names, so that the least one is far from most; a hop a round would take far over a hundred."""
+    name = np.random.default_rng(3).permutation(10 ** 6)[:3000] - 500_000
+    edges = [(int(name[i]), int(name[j])) for i in range(2000) for j in range(i + 1, min(i + 4, 2000))] + [(int(name[i]), int(name[i + 1])) for i in range(2000, 2999)]
+    got = {r["fp"]: r["label"] for r in simhash.components(spark.createDataFrame(edges, "fp long, to long")).collect()}
+    assert got == {**{int(x): int(name[:2000].min()) for x in name[:2000]}, **{int(x): int(name[2000:].min()) for x in name[2000:]}}
+
+
 def jaccard_classes(texts, ids):
     s = [set(similar.shingle_set((t or "").encode(), 5).tolist()) for t in texts]
     alike = [(a, b) for a in range(len(s)) for b in range(a) if (not s[a] and not s[b]) or (s[a] and s[b] and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]) - 1e-9)]
