@@ -117,6 +117,44 @@ def jaccard_classes(texts, ids):
     return joined(len(s), alike)
 
 
+def odds(n):
+    """Chances of 0 to n heads among n coins."""
+    return np.array([math.comb(n, k) for k in range(n + 1)], float) / 2.0 ** n
+
+
+def test_candidate_bound_reaches_pairs_at_the_similarity():
+    """The binomial tail beyond the bound, with the chance that a majority bit differs by enumeration."""
+    for a in [*range(4, 48), 100, 200]:
+        for b in {a, a + 1, a + 2, int(a * 1.25)}:
+            c = -(-4 * (a + b) // 9)  # least common shingles of 0.8
+            if not c <= a <= b <= 1.25 * a:
+                continue
+            s = np.arange(c + 1)
+            up = [np.array([odds(m - c)[2 * (k + np.arange(m - c + 1)) > m].sum() for k in s]) for m in (a, b)]
+            p = float((odds(c) * (up[0] * (1 - up[1]) + up[1] * (1 - up[0]))).sum())
+            reach = similar.WIDE_REACH[a <= similar.SHORT]
+            assert sum(math.comb(256, k) * p ** k * (1 - p) ** (256 - k) for k in range(reach + 1, 257)) < 1e-10, (a, b)
+
+
+def test_candidates_in_large_places_are_those_within_the_bound(spark):
+    """Among many texts of a place, whose first 64 bits alone would rule some pairs out."""
+    rng = np.random.default_rng(2)
+    w = rng.integers(0, 1 << 63, (60, 4), dtype=np.uint64)
+    w[20:40] = w[:20]
+    w[20:40, 0] ^= np.uint64((1 << 30) - 1)  # 30 bits apart, all in the first word
+    w[40:] = w[:20]
+    w[40:, 1:] ^= np.uint64((1 << 30) - 1)  # 90 bits apart: near for short texts only
+    n = np.where(np.arange(60) % 2, 10, 300)
+    found = similar._Links(60)
+    similar.met_within(w, n, found, step=7)
+    a, b = np.triu_indices(60, 1)
+    ok = similar.within(w[a], w[b], n[a], n[b])
+    assert found.labels().tolist() == joined(60, zip(a[ok].tolist(), b[ok].tolist())) and ok.sum() >= 30
+    rows = [(7, i, int(m), x.astype("<u8").tobytes()) for i, (m, x) in enumerate(zip(n, w))]
+    stars = similar.candidates(spark.createDataFrame(rows, "place long, key long, n int, wide binary").coalesce(1)).collect()
+    assert joined(60, [tuple(r) for r in stars]) == joined(60, zip(a[ok].tolist(), b[ok].tolist()))
+
+
 def test_similar_classes_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(400)]
