@@ -162,6 +162,19 @@ def test_op2_counts_and_base(spark, small):
     assert seen.score.sum() > seen.base_score.sum() and np.isfinite(got.score).all()
 
 
+def test_training_predicts_each_id_once():
+    from sediment.llm.tokens import encoder
+    enc = encoder(TOKENIZER)
+    for text in (b"", b"one", b"unheard-of antidisestablishmentarianism " * 7, b"word and another " * 3000):
+        words, parts = lm.parts_of(enc, text)
+        x, n, first = lm.laid_out(enc, parts)
+        got = lm.tiles(enc, parts, np.arange(len(words)) > 1, 99_999)
+        target = got[:, 1:].reshape(-1)
+        target = target[target >= 0]
+        assert (target & ~lm.MET).tolist() == [*x.tolist(), 99_999] and (got[1:, 0] == got[:-1, -1]).all() and got[0, 0] == 99_999
+        assert ((target & lm.MET) > 0).sum() == (n[2:] - 1).clip(0).sum()
+
+
 def test_windows_score_each_token_once(monkeypatch):
     rng = np.random.default_rng(2)
     size = 50
