@@ -175,6 +175,30 @@ def test_training_predicts_each_id_once():
         assert ((target & lm.MET) > 0).sum() == (n[2:] - 1).clip(0).sum()
 
 
+def test_company_of_ids_covers_all_text(spark):
+    from collections import Counter
+    from sediment.llm.tokens import encoder
+    enc = encoder(TOKENIZER)
+    texts = ["the cat sat on the mat " * 90 + "unheard-of zyxwv", "", "a dog", "the end of the unheard-of"]
+    lines = [[lm.laid_out(enc, lm.parts_of(enc, t.encode())[1])[0].tolist()] for t in texts]
+    end = len(lm.endings(enc)) - 1
+    lines = [[end, *x[0], end] for x in lines]
+    counts = np.zeros(end + 1, np.int64)
+    for x in lines:
+        np.add.at(counts, x, 1)
+    marks = lm.marked_ids(counts)
+    want = Counter()
+    for x in lines:
+        for i, a in enumerate(x):
+            for j in range(i + 1, min(len(x), i + lm.COMPANY + 1)):
+                if marks[x[j]] >= 0:
+                    want[a * 2 * lm.MARKS + marks[x[j]]] += 1
+                if marks[a] >= 0:
+                    want[x[j] * 2 * lm.MARKS + lm.MARKS + marks[a]] += 1
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["cell"]: r["n"] for r in lm.company(df, TOKENIZER, marks).collect()} == dict(want)
+
+
 def test_windows_score_each_token_once(monkeypatch):
     rng = np.random.default_rng(2)
     size = 50
