@@ -253,6 +253,18 @@ def test_spelling_is_a_distribution():
         assert known + new <= 1 + 1e-9 and np.exp(s.known[k]) * firsts[ids].sum() + np.exp(s.new[k]) > 0.99
 
 
+def test_scores_do_not_depend_on_what_is_broadcast(spark, odd):
+    from pyspark.sql import functions as F
+    got = []
+    old = lm.HOT
+    try:
+        for lm.HOT in (old, 0):
+            got.append(np.sort(lm.score(odd, F.lit(True), TOKENIZER).toPandas().score.to_numpy()))
+    finally:
+        lm.HOT = old
+    assert np.allclose(*got, rtol=1e-6)
+
+
 @pytest.mark.parametrize("training", ["true", "false"])
 def test_lm_of_odd_documents(spark, odd, empty, training):
     from pyspark.sql import functions as F
