@@ -27,6 +27,12 @@ def sized_bits(distinct: int, rate: float = 0.01) -> int:
 
 
 def filtered_get(entries: DataFrame, sketch: DataFrame, probes: DataFrame, bits: int = 2048, hashes: int = 4, by: str = "seg") -> DataFrame:
-    """Probes that a segment's sketch lets through, then looked up exactly."""
-    maybe = probes.join(F.broadcast(sketch), might_contain(F.col("set_bits"), F.col("key"), bits, hashes)).select(by, "key")
-    return maybe.join(entries, [by, "key"])
+    """Probes that a segment's sketch lets through, then looked up exactly.
+
+    Probes meet sketches bit by bit; those pass whose every bit is set.
+    """
+    at = F.array_distinct(positions(F.col("key"), bits, hashes))
+    asked = probes.select("key").distinct().select("key", F.size(at).alias("need"), F.explode(at).alias("bit"))
+    held = sketch.select(by, F.explode("set_bits").alias("bit"))
+    maybe = asked.join(held, "bit").groupBy(by, "key", "need").count().where("count = need").select(by, "key")
+    return maybe.join(entries, [by, "key"]).join(probes.select("key"), "key")

@@ -62,6 +62,16 @@ def test_sketch_has_no_false_negatives(spark):
     assert bloom.filtered_get(held, sketch, probes, bits, 7).count() == 300
 
 
+def test_probes_meet_the_sketches_of_all_segments_by_an_equality(spark):
+    held = spark.range(4000).selectExpr("id % 40 as seg", "concat('k', id % 300 + id % 40) as key", "1 as kind", "'v' as value").distinct()
+    probes = held.select("key").distinct().unionByName(spark.createDataFrame([("k7",), ("none",), (None,)], "key string"))
+    got = bloom.filtered_get(held, bloom.build(held), probes)
+    want = held.join(probes, "key").select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 ACTIONS = "manifest_id long, ord long, action int, file_id long, size long"
 
 
