@@ -36,6 +36,8 @@ SIGN = "▁"
 UNKNOWN = 10.0
 NEVER = float("-inf")
 MEMO = 450_000
+#: Numbers that a pattern's ``[^\W\d_]`` takes for letters, as superscripts, and ``isalpha`` doesn't.
+NUMBERS = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 BATCH_ROWS = 512
 _models: dict = {}
 
@@ -69,13 +71,14 @@ class Pieces(dict):
         # every beginning of a piece: (score, ids) where it is a piece itself, else empty
         self.begun: dict[str, tuple] = {s[:k]: () for s in self.piece for k in range(1, len(s))}
         self.begun.update({s: (score, (i,)) for s, (score, i) in self.piece.items()})
-        self.cut = self._borders()
+        self.cut, self.cut_numbers = self._borders(), self._borders("".join(sorted(NUMBERS)))
 
-    def _borders(self):
+    def _borders(self, numbers: str = ""):
         """A pattern of stretches: classes of characters that no piece joins are cut apart.
 
         A sign run belongs to what follows it. Letters and the rest are also cut apart
-        if the vocabulary never joins them, which is looked up and not assumed.
+        if the vocabulary never joins them, which is looked up and not assumed. ``numbers``
+        belong to the rest; a class that names them is slow, so only texts with any use it.
         """
         kind = lambda c: SIGN if c == SIGN else "w" if c.isalpha() else "o"
         joins = {(kind(a), kind(b)) for s in self.piece for a, b in zip(s, s[1:])}
@@ -83,11 +86,12 @@ class Pieces(dict):
             return None
         if {("w", "o"), ("o", "w")} & joins:
             return re.compile(f"{SIGN}*[^{SIGN}]+|{SIGN}+")
-        return re.compile(f"{SIGN}*[^\\W\\d_]+|{SIGN}*(?:[^{SIGN}\\w]|[\\d_])+|{SIGN}+|.", re.S)
+        return re.compile(f"{SIGN}*[^\\W\\d_{numbers}]+|{SIGN}*(?:[^{SIGN}\\w]|[\\d_{numbers}])+|{SIGN}+|.", re.S)
 
     def stretches(self, text: str) -> list[str]:
         escaped = SIGN + text.replace(" ", SIGN) if text else ""
-        found = self.cut.findall(escaped) if self.cut else [escaped] if escaped else []
+        cut = self.cut if text.isascii() or NUMBERS.isdisjoint(text) else self.cut_numbers
+        found = cut.findall(escaped) if cut else [escaped] if escaped else []
         return found
 
     def edges(self, s: str, i: int) -> list[tuple[int, float, tuple[int, ...]]]:

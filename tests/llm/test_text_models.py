@@ -52,6 +52,16 @@ def test_op10_round_trips(spark, small):
     assert set(got["rank"]) == {1, 2, 3} and (ranked.groupby("doc_id").score.diff().dropna() <= 0).all()
 
 
+def test_no_piece_is_cut():
+    p = nbest.pieces(PIECES, 4)
+    assert "².".isalpha() is False and p.piece["²."][0] > p.piece["²"][0] + p.piece["."][0]
+    assert "²." in p.stretches("x².") and p.stretches("km² a½b, ³.")[0] == nbest.SIGN + "km"
+    whole = [s for s in p.piece if nbest.SIGN not in s]
+    assert len(whole) > 10_000 and all(p.stretches("x " + s)[1:] == [nbest.SIGN + s] for s in whole)
+    got = p.search(nbest.SIGN + "x².")[0]
+    assert math.isclose(sum(p.search(s)[0][0] for s in p.stretches("x².")), got[0], rel_tol=1e-6)
+
+
 def test_nbest_of_odd_documents(spark, odd, empty):
     got = nbest.encode(odd, PIECES, 2).toPandas()
     assert len(got[got.doc_id.isin([1, 3])]) == 2 and got[got.doc_id == 3].ids.iloc[0] == b""
