@@ -5,6 +5,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,10 +18,12 @@ SPACE = "\x20\t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary one is set.
+    Only where the session names none and runs in this process (tests) a temporary one is set.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="sediment-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -49,6 +52,18 @@ def release(spark: SparkSession) -> None:
         drop_path(spark, _made.pop())
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the folders that are staged inside as it ends, but for the paths put in the list that it gives."""
+    kept, before = [], len(_made)
+    yield kept
+    made = _made[before:]
+    _made[before:] = [p for p in made if p in kept]
+    for p in made:
+        if p not in kept:
+            drop_path(spark, p)
+
+
 class _Shuffles:
     """While a staged table is written, drops its shuffle files as soon as it is complete."""
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sediment.llm.common import new_path, stage, text_bytes
+from sediment.llm.common import new_path, scratch, stage, text_bytes
 
 SEED = 42
 #: Fingerprints that a shard is meant to hold; fingerprints in the top tree's sample at most.
@@ -218,23 +218,34 @@ def components(edges: DataFrame) -> DataFrame:
     had as well, and then takes that label's own label, so labels halve their distance and
     rounds grow with the logarithm of a component's diameter. Labels only fall, so it ends.
     """
-    both = stage(edges.select(F.col("fp").alias("a"), F.col("to").alias("b")).unionByName(edges.select(F.col("to").alias("a"), F.col("fp").alias("b"))), "simhash-edges")
-    labels = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "fp"), "simhash-labels")
-    state = None
-    while True:
-        now = labels.agg(F.count("*"), F.sum(F.col("label").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            return labels
-        state = tuple(now)
-        # the label of each neighbour, then the least of them with one's own
-        none = F.lit(None).cast("long")
-        far = both.join(labels, both["b"] == labels["fp"]).select("a", "label", none.alias("old"))
-        near = stage(far.unionByName(labels.select(F.col("fp").alias("a"), "label", F.col("label").alias("old"))).groupBy("a").agg(F.min("label").alias("label"), F.max("old").alias("old")), "simhash-near")
-        # a node's old label is hooked to the least one that the node has met
-        hooked = near.select("a", "label").unionByName(near.where("label < old").select(F.col("old").alias("a"), "label"))
-        least = stage(hooked.groupBy("a").agg(F.min("label").alias("label")), "simhash-round")
-        jump = least.select(F.col("a").alias("at"), F.col("label").alias("next"))
-        labels = stage(least.join(jump, least["label"] == jump["at"]).select(F.col("a").alias("fp"), F.least("label", "next").alias("label")), "simhash-labels")
+    spark = edges.sparkSession
+    with scratch(spark) as kept:
+        both = stage(edges.select(F.col("fp").alias("a"), F.col("to").alias("b")).unionByName(edges.select(F.col("to").alias("a"), F.col("fp").alias("b"))), "simhash-edges")
+        kept.append(new_path(spark, "simhash-labels"))
+        labels = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "fp"), "simhash-labels", kept[0])
+        state = None
+        while True:
+            now = labels.agg(F.count("*"), F.sum(F.col("label").cast("decimal(38,0)"))).first()
+            if tuple(now) == state:
+                return labels
+            state, path = tuple(now), new_path(spark, "simhash-labels")
+            with scratch(spark) as round_kept:
+                round_kept.append(path)
+                labels = hop(both, labels, path)
+            kept[0] = path
+
+
+def hop(both: DataFrame, labels: DataFrame, path: str) -> DataFrame:
+    """One round of ``components``."""
+    # the label of each neighbour, then the least of them with one's own
+    none = F.lit(None).cast("long")
+    far = both.join(labels, both["b"] == labels["fp"]).select("a", "label", none.alias("old"))
+    near = stage(far.unionByName(labels.select(F.col("fp").alias("a"), "label", F.col("label").alias("old"))).groupBy("a").agg(F.min("label").alias("label"), F.max("old").alias("old")), "simhash-near")
+    # a node's old label is hooked to the least one that the node has met
+    hooked = near.select("a", "label").unionByName(near.where("label < old").select(F.col("old").alias("a"), "label"))
+    least = stage(hooked.groupBy("a").agg(F.min("label").alias("label")), "simhash-round")
+    jump = least.select(F.col("a").alias("at"), F.col("label").alias("next"))
+    return stage(least.join(jump, least["label"] == jump["at"]).select(F.col("a").alias("fp"), F.least("label", "next").alias("label")), "simhash-labels", path)
 
 
 def classes(fps: DataFrame, distance: int = 2, shard: int = SHARD) -> DataFrame:
