@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sediment.llm import imatch, lm, nbest, packing, quality, simhash, token_store, topk, toxicity, warc
-from sediment.llm.common import crc_mod, new_path, table
+from sediment.llm.common import crc_mod, new_path, table, text_bytes
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -51,8 +51,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight, the classifier's verdict, and a Gumbel top-k draw of a quarter of the rows."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    weighed = quality.weigh(docs, quality.fit(docs, labels), ["doc_id"])
-    return quality.resample(weighed, docs.count() // 4, ["doc_id"])
+    weighed = quality.weigh(docs, quality.fit(docs, labels), ["doc_id", F.xxhash64(text_bytes()).alias("mark")])
+    return quality.resample(weighed, docs.count() // 4, ["doc_id", "mark"]).drop("mark")
 
 
 def op10_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:

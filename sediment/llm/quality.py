@@ -1,22 +1,23 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text.
 
-A text's features are its words' hashed lower-case cores and the hashed pairs of
-neighbouring word shapes. A shape is a word's case, its outer signs and whether it
-repeats the word before it, so that both vocabulary and form are modelled. Raw counts
-come from every document, target counts from a bounded sample of documents labelled
-good. A text's log importance weight is the sum, over its features, of the log ratio
-of the two smoothed distributions.
+A text's features are the hashed n-grams of its words' lower-case cores, one word and two
+words, and hashed pairs of neighbouring word shapes. A shape is a word's case, its outer
+signs and whether it repeats the word before it, so that wording and form are modelled.
+Raw counts come from every document, target counts from a bounded sample of documents
+labelled good. A text's log importance weight is the sum, over its features, of the log
+ratio of the two smoothed distributions; each of the three kinds has its own.
 
 The classifier accepts a text whose mean log ratio reaches a threshold, set on the
-labelled sample. ``resample`` draws texts without replacement in proportion to their
-weights: Gumbel noise, a hash of the row, is added to the log weights and the k
-highest win. The k-th key is found by counting keys into ranges, 2^16 at a time, so
-no task or driver holds the keys.
+labelled sample. ``resample`` draws exactly k texts without replacement in proportion to
+their weights: Gumbel noise, a hash of the row's id and text, is added to the log weights
+and the k highest win. The k-th key is found by counting keys into ranges, 2^16 at a
+time, so no task or driver holds the keys.
 
 Defined cases: null text is empty; a text without words has weight and mean 0; texts
-of any length count whole; repeated rows weigh alike and share their noise, so ties at
-the k-th key are drawn together; null labels aren't learned from and of repeated
-labels the smaller counts; without good labels every ratio is 0 and all is accepted.
+of any length count whole; rows of equal id and text weigh alike and share their noise,
+and rows that tie at the k-th key are taken in the order in which they are staged until k
+are drawn; null labels aren't learned from and of repeated labels the smaller counts;
+without good labels every ratio is 0 and all is accepted; an empty table gives no row.
 Other columns of the input are ignored.
 """
 from __future__ import annotations
@@ -28,11 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sediment.llm.common import stage, text_bytes, with_text
 
-BUCKETS = 1 << 16
+#: Buckets of each kind of feature.
+BUCKETS, KINDS = 1 << 16, 3
 SHAPES = 1 << 12
 #: Labelled documents learned from at most, of each class, and bytes of one of them.
 SAMPLE = {1: 6000, 0: 3000}
@@ -75,7 +77,7 @@ _words = Words()
 
 
 def text_features(text: bytes) -> np.ndarray:
-    """Feature numbers of a text: cores in [0, BUCKETS), shape pairs from BUCKETS on."""
+    """Feature numbers of a text: cores in [0, BUCKETS), then pairs of cores, then pairs of shapes."""
     global _words
     if len(_words) > MEMO_WORDS:
         _words = Words()
@@ -84,9 +86,14 @@ def text_features(text: bytes) -> np.ndarray:
     core, shape = _words.rows[at].T
     same = np.zeros(len(at), bool)
     same[1:] = core[1:] == core[:-1]
-    shape = np.where(same, SAME, shape).astype(np.int64)
-    before = np.concatenate([[0], shape[:-1]])[:len(shape)]
-    return np.concatenate([core.astype(np.int64), BUCKETS + (before * 40503 + shape * 2654435761) % BUCKETS])
+    shape, core = np.where(same, SAME, shape).astype(np.int64), core.astype(np.int64)
+    return np.concatenate([core, BUCKETS + paired(core), 2 * BUCKETS + paired(shape)])
+
+
+def paired(x: np.ndarray) -> np.ndarray:
+    """The bucket of each number with the one before it; 0 is before the first."""
+    before = np.concatenate([[0], x[:-1]])[:len(x)]
+    return ((before + 1) * 2654435761 + x * 40503 >> 8) % BUCKETS
 
 
 @dataclass
@@ -103,23 +110,23 @@ class Model:
 def raw_counts(docs: DataFrame) -> np.ndarray:
     """Feature counts of all documents: one vector a task, summed."""
     def run(batches):
-        total = np.zeros(2 * BUCKETS, np.int64)
+        total = np.zeros(KINDS * BUCKETS, np.int64)
         held, n = [], 0
         for b in batches:
             for t in b.column(0):
                 held.append(text_features(t.as_py()))
                 n += len(held[-1])
                 if n > 1 << 20:
-                    total += np.bincount(np.concatenate(held), minlength=2 * BUCKETS)
+                    total += np.bincount(np.concatenate(held), minlength=KINDS * BUCKETS)
                     held, n = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=2 * BUCKETS)
+            total += np.bincount(np.concatenate(held), minlength=KINDS * BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"f": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
-    out = np.zeros(2 * BUCKETS, np.int64)
-    for r in docs.select(text_bytes().alias("text")).mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():  # at most 2 * BUCKETS
-        out[r["f"]] = r["n"]
+    out = np.zeros(KINDS * BUCKETS, np.int64)
+    got = docs.select(text_bytes().alias("text")).mapInArrow(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()  # at most KINDS * BUCKETS
+    out[got["f"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
@@ -143,22 +150,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     found = [(np.frombuffer(r["f"], "<i4"), r["quality"]) for r in rows]
     good = [f for f, q in found if q == 1]
     if not good:
-        return Model(np.zeros(2 * BUCKETS), -np.inf)
-    target = np.zeros(2 * BUCKETS, np.int64)
+        return Model(np.zeros(KINDS * BUCKETS), -np.inf)
+    target = np.zeros(KINDS * BUCKETS, np.int64)
     for f in good:
-        target += np.bincount(f, minlength=2 * BUCKETS)
+        target += np.bincount(f, minlength=KINDS * BUCKETS)
     ratio = log_ratio(target, raw)
     return Model(ratio, choose(ratio, found))
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """log p_target / p_raw per feature; each half is a distribution, smoothed towards raw."""
-    out = np.empty(2 * BUCKETS)
-    for half in (slice(0, BUCKETS), slice(BUCKETS, 2 * BUCKETS)):
-        p = (raw[half] + 1) / (raw[half] + 1).sum()
+    """log p_target / p_raw per feature; each kind is a distribution, smoothed towards raw."""
+    out = np.empty(KINDS * BUCKETS)
+    for kind in (slice(i * BUCKETS, (i + 1) * BUCKETS) for i in range(KINDS)):
+        p = (raw[kind] + 1) / (raw[kind] + 1).sum()
         weight = 20.0 * BUCKETS / 64
-        q = (target[half] + weight * p) / (target[half].sum() + weight)
-        out[half] = np.log(q / p)
+        q = (target[kind] + weight * p) / (target[kind].sum() + weight)
+        out[kind] = np.log(q / p)
     return out
 
 
@@ -193,18 +200,12 @@ def gumbel(*cols, seed: int = 42):
     return -F.log(-F.log(u))
 
 
-def kth_key(keys: DataFrame, column: str, k: int) -> float | None:
-    """The exact k-th largest double of a column, or None with fewer rows."""
-    def order(batches):
-        for b in batches:
-            bits = b.column(0).to_numpy(zero_copy_only=False).astype("<f8").view(np.int64)
-            yield pa.RecordBatch.from_pydict({"o": pa.array(np.where(bits < 0, ~bits ^ np.int64(-(1 << 63)), bits))})
-
-    ordered = keys.select((F.col(column).cast("double") + F.lit(0.0)).alias("key")).mapInArrow(order, "o long")
-    low, left = None, k
+def kth_long(ordered: DataFrame, k: int) -> int | None:
+    """The exact k-th largest of the only column, a long, or None with fewer rows; counts it by 16 bits at a time."""
+    name, low, left = ordered.columns[0], None, k
     for shift in (48, 32, 16, 0):
-        some = ordered if low is None else ordered.where(F.shiftright("o", shift + 16) == low)
-        ranges = sorted(((r["b"], r["n"]) for r in some.groupBy(F.shiftright("o", shift).alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 2^16
+        some = ordered if low is None else ordered.where(F.shiftright(name, shift + 16) == low)
+        ranges = sorted(((r["b"], r["n"]) for r in some.groupBy(F.shiftright(name, shift).alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 2^16
         for b, n in ranges:
             if left <= n:
                 low = b
@@ -212,12 +213,39 @@ def kth_key(keys: DataFrame, column: str, k: int) -> float | None:
             left -= n
         else:
             return None
+    return low
+
+
+def kth_key(keys: DataFrame, column: str, k: int) -> float | None:
+    """The exact k-th largest double of a column, or None with fewer rows."""
+    def order(batches):
+        for b in batches:
+            bits = b.column(0).to_numpy(zero_copy_only=False).astype("<f8").view(np.int64)
+            yield pa.RecordBatch.from_pydict({"o": pa.array(np.where(bits < 0, ~bits ^ np.int64(-(1 << 63)), bits))})
+
+    low = kth_long(keys.select((F.col(column).cast("double") + F.lit(0.0)).alias("key")).mapInArrow(order, "o long"), k)
+    if low is None:
+        return None
     bits = low if low >= 0 else ~(low ^ -(1 << 63))
     return struct.unpack("<d", struct.pack("<q", bits))[0]
 
 
-def resample(weighed: DataFrame, k: int, by: list[str], seed: int = 42) -> DataFrame:
-    """Adds ``gumbel_key`` and ``sampled``: the Gumbel top-k of the rows, by log weight."""
-    keyed = stage(weighed.withColumn("gumbel_key", F.col("log_weight") + gumbel(*by, seed=seed)), "quality-keys")
-    at = kth_key(keyed, "gumbel_key", k) if k > 0 else float("inf")
-    return keyed.withColumn("sampled", F.lit(True) if at is None else F.col("gumbel_key") >= F.lit(at))
+def resample(weighed: DataFrame, k: int | Column, by: list[str], seed: int = 42, log_weight: Column | str = "log_weight") -> DataFrame:
+    """Adds ``gumbel_key`` and ``sampled``: the Gumbel top-k of the rows, by log weight.
+
+    ``by`` names what the noise is a hash of; k is a number, or a condition whose rows it counts.
+    """
+    log_weight = F.col(log_weight) if isinstance(log_weight, str) else log_weight
+    keyed = stage(weighed.withColumn("gumbel_key", log_weight + gumbel(*by, seed=seed)).withColumn("_row", F.monotonically_increasing_id()), "quality-keys")
+    if isinstance(k, Column):
+        k = keyed.where(k).count()
+    at = kth_key(keyed.select("gumbel_key"), "gumbel_key", k) if k > 0 else None
+    if at is None:  # none, or all
+        return keyed.withColumn("sampled", F.lit(k > 0)).drop("_row")
+    key = F.col("gumbel_key") + F.lit(0.0)
+    above, ties = keyed.agg(F.count_if(key > at), F.count_if(key == at)).first()
+    won = key >= at
+    if above + ties > k:
+        last = -kth_long(keyed.where(key == at).select((-F.col("_row")).alias("o")), k - above)
+        won = (key > at) | ((key == at) & (F.col("_row") <= last))
+    return keyed.withColumn("sampled", won).drop("_row")
