@@ -150,6 +150,8 @@ class Model:
 
 def train(texts: list[bytes], toxic: np.ndarray, langs: list[str], seed: int = 7) -> Model:
     """Fits embeddings, filters, output layer and language thresholds by Adam on log loss."""
+    global _words
+    _words = Words()  # the order of rows, which the words blanked depend on, is that of these texts alone
     languages = sorted(set(langs)) or ["und"]
     if len(set(toxic.tolist())) < 2:
         return Model(np.zeros((BUCKETS, 1), np.float32), np.zeros(0), np.zeros(0), 0.0, languages, np.zeros(1), np.zeros(1), float(toxic.mean()) if len(toxic) else 0.0)
