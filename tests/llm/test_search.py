@@ -36,6 +36,30 @@ def test_top_k_equals_brute_force(spark, kind):
     assert got == brute_top(rows, 5, 50)
 
 
+@pytest.mark.parametrize("rows", [
+    [(i, []) for i in range(0, 300, 20)],
+    [(100, [1e7, 1e7]), (200, [3.0, -2.0]), (201, [0.25, 0.5]), (300, [1e-3, 1.0])],
+    [(i, [float(i), -1.0]) for i in range(0, 2500)],
+])
+def test_top_k_of_empty_and_large_vectors(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, k=5, every=100).collect()) == brute_top(rows, 5, 100)
+
+
+def test_top_k_beyond_64_bits(spark):
+    most, least = (1 << 63) - 1, -(1 << 63)
+    for big in (1e9, 1e200):
+        rows = [(0, [big]), (1, [big]), (2, [2 * big]), (3, [-big]), (4, [0.0])]
+        got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).collect())
+        assert got == [(0, 1, 1, most), (0, 2, 2, most), (0, 3, 4, 0), (0, 4, 3, least)]
+
+
+def test_rings_follow_the_root_of_the_vectors():
+    for n in (1, 5000, 10 ** 6, 10 ** 9):
+        p, r = topk.layout(n)
+        assert p * r <= 2 * max(64, math.isqrt(n)) and p * r >= 0.4 * math.isqrt(n)
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert topk.top_k(df).count() == 0
@@ -169,16 +193,54 @@ def test_similar_classes_equal_brute_force(spark):
     texts += ["", None, "one", "one", "two words"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, key string")
     want = jaccard_classes(texts, range(len(texts)))
-    old, similar.BLOCK = similar.BLOCK, 3
+    old = similar.BLOCK, similar.PLACE, similar.LEADERS
+    similar.BLOCK, similar.PLACE, similar.LEADERS = 3, 4, 1
     try:
         got = {r["doc_id"]: r["class_id"] for r in similar.classes(df).collect()}
     finally:
-        similar.BLOCK = old
+        similar.BLOCK, similar.PLACE, similar.LEADERS = old
     assert [got[i] for i in range(len(texts))] == want
     kept = similar.deduplicated(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def test_large_families_are_compared_whole(spark, monkeypatch):
+    """A hub's near copies, a chain of edits, and texts that only share a passage, in one family."""
+    monkeypatch.setattr(similar, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3000)]
+    base, texts = list(rng.choice(words, 150)), []
+    for i in range(60):
+        t = list(base)
+        t[int(rng.integers(150))] = f"x{i}"
+        texts.append(" ".join(t))
+    t = list(base)
+    for i in range(40):  # each a step further from the base
+        t[(i * 29) % 150] = f"y{i}"
+        texts.append(" ".join(t))
+    texts += [" ".join([*base[:100], *rng.choice(words, 50)]) for _ in range(30)]
+    sets = [similar.shingle_set(t.encode(), 5) for t in texts]
+    held = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    distinct = similar.sketches(held, 5).select("key", "doc_id", "mark")
+    families = distinct.selectExpr("key as fp", "1L as label")
+    links = [tuple(r) for r in similar.verified(held, families, distinct, 5, 0.8).collect()]
+    place = {r["key"]: r["doc_id"] for r in distinct.collect()}
+    alike = [(a, b) for a in range(len(sets)) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9]
+    assert joined(len(texts), [(place[a], place[b]) for a, b in links]) == joined(len(texts), alike)
+
+
+def test_dedup_keeps_one_of_rows_that_repeat(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(4, long), (4, long), (7, long), (4, "else"), (4, "else"), (None, "alone"), (None, "alone"), (9, "single words here")]
+    kept = similar.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(4, long), (4, "else"), (None, "alone"), (9, "single words here")], key=str)
+
+
+def test_dedup_without_broadcast(spark, odd, monkeypatch):
+    monkeypatch.setattr(similar, "BROADCAST_ROWS", 0)
+    assert similar.deduplicated(odd).count() == 9
+
+
 def test_dedup_of_odd_documents(spark, odd, empty):
     kept = similar.deduplicated(odd)
     assert kept.columns == odd.columns
