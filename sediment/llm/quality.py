@@ -148,14 +148,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = texts.select("text", "quality", "doc_id").mapInArrow(describe_all, "f binary, quality int, doc_id long").collect()  # at most sum(SAMPLE) ids
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["f"])))
     found = [(np.frombuffer(r["f"], "<i4"), r["quality"]) for r in rows]
-    good = [f for f, q in found if q == 1]
-    if not good:
+    if not any(q == 1 for _, q in found):
         return Model(np.zeros(KINDS * BUCKETS), -np.inf)
-    target = np.zeros(KINDS * BUCKETS, np.int64)
-    for f in good:
-        target += np.bincount(f, minlength=KINDS * BUCKETS)
-    ratio = log_ratio(target, raw)
-    return Model(ratio, choose(ratio, found))
+
+    def counted(rows):
+        target = np.zeros(KINDS * BUCKETS, np.int64)
+        for f, q in rows:
+            if q == 1:
+                target += np.bincount(f, minlength=KINDS * BUCKETS)
+        return target
+
+    # the threshold is set on means under models that have not seen the text: a text's own rare n-grams look good to its own model
+    halves = [found[0::2], found[1::2]]
+    means = [(mean_ratio(ratio, f), q) for own, other in (halves, halves[::-1]) for ratio in [log_ratio(counted(other), raw)] for f, q in own]
+    return Model(log_ratio(counted(found), raw), choose(means))
+
+
+def mean_ratio(ratio: np.ndarray, f: np.ndarray) -> float:
+    return float(ratio[f].mean()) if len(f) else 0.0
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -169,10 +179,9 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def choose(ratio: np.ndarray, found: list[tuple[np.ndarray, int]]) -> float:
+def choose(found: list[tuple[float, int]]) -> float:
     """The threshold on the mean log ratio: the best cut that keeps KEEP of the good sample."""
-    mean = np.array([ratio[f].mean() if len(f) else 0.0 for f, _ in found])
-    y = np.array([q for _, q in found])
+    mean, y = np.array([m for m, _ in found]), np.array([q for _, q in found])
     most = np.quantile(mean[y == 1], 1 - KEEP)
     bad = mean[(y == 0) & (mean < most)]
     return float((bad.max() + most) / 2) if len(bad) else float(most) - 1e-9
