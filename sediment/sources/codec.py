@@ -221,24 +221,34 @@ def encode_action(action: int, file_id: int, meta: tuple | None = None) -> bytes
     return struct.pack("<QB", M.MANIFEST_MAGIC, action) + tail
 
 
-def decode_actions(data: bytes) -> Iterator[tuple]:
-    """(action, file_id, level, smallest, largest, size) rows; removes hold nulls."""
+def decode_actions(data: bytes, tolerate_tail: bool = False) -> Iterator[tuple]:
+    """(action, file_id, level, smallest, largest, size) rows; removes hold nulls; ``tolerate_tail`` stops at a torn last one."""
     at = 0
     while at < len(data):
-        (magic, action), at = take("QB", data, at)
+        try:
+            (magic, action), at = take("QB", data, at)
+            (fid,), at = take("Q", data, at)
+            rest = (None,) * 4
+            if magic == M.MANIFEST_MAGIC and action == M.MANIFEST_ADD:
+                rest, at = decode_meta(data, at)
+        except CorruptFormat:
+            if tolerate_tail:
+                return
+            raise
         if magic != M.MANIFEST_MAGIC:
             raise CorruptFormat("manifest magic")
-        (fid,), at = take("Q", data, at)
-        if action == M.MANIFEST_ADD:
-            (level,), at = take("I", data, at)
-            low, at = read_record(data, at)
-            high, at = read_record(data, at)
-            (size,), at = take("Q", data, at)
-            yield action, fid, level, low, high, size
-        elif action == M.MANIFEST_REMOVE:
-            yield action, fid, None, None, None, None
-        else:
+        if action not in (M.MANIFEST_ADD, M.MANIFEST_REMOVE):
             raise CorruptFormat("unknown manifest action")
+        yield action, fid, *rest
+
+
+def decode_meta(data: bytes, at: int = 0) -> tuple[tuple[int, bytes, bytes, int], int]:
+    """(level, smallest, largest, size) of a segment, and where it ends."""
+    (level,), at = take("I", data, at)
+    low, at = read_record(data, at)
+    high, at = read_record(data, at)
+    (size,), at = take("Q", data, at)
+    return (level, low, high, size), at
 
 
 STATE_DEFAULT = {"next_sstable_id": 0, "next_wal_id": 0, "next_manifest_id": 0, "next_sequence_id": 1}

@@ -48,17 +48,37 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(spark, path, "*.manifest", rows, "manifest_id long, ord long, action int, file_id long, level long, smallest_key binary, largest_key binary, file_size long")
 
 
+class Log:
+    """An appending file: what ``append`` returned for is on disk."""
+
+    def __init__(self, files: "Files", name: str):
+        self.name, self._out = name, files._fs.create(files.path(name), True)
+
+    def append(self, data: bytes) -> None:
+        self._out.write(bytearray(data))
+        self._out.hsync()
+
+    def close(self) -> None:
+        self._out.close()
+
+
 class Files:
-    """Whole small files through Hadoop's FileSystem, for driver-side state and logs."""
+    """Whole small files and appended logs through Hadoop's FileSystem, for driver-side state.
+
+    Logs need a store whose streams sync (HDFS, local disks). Local files bypass Hadoop's
+    checksum files, which can't be replaced together with what they describe.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
-        self._jvm, self.root = spark._jvm, root.rstrip("/")
-        self._fs = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._spark, self._jvm, self.root = spark, spark._jvm, root.rstrip("/")
+        fs = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._local = fs.getUri().getScheme() == "file"
+        self._fs = fs.getRawFileSystem() if self._local else fs
 
     def path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def read(self, name: str) -> bytes | None:
+    def _bytes(self, name: str) -> bytes | None:
         if not self._fs.exists(self.path(name)):
             return None
         stream = self._fs.open(self.path(name))
@@ -67,23 +87,56 @@ class Files:
         finally:
             stream.close()
 
+    def read(self, name: str) -> bytes | None:
+        return self._bytes(name)
+
+    def read_section(self, name: str, offset: int, length: int) -> bytes:
+        """Part of a file, and no more than that is read."""
+        stream = self._fs.open(self.path(name))
+        try:
+            stream.seek(offset)
+            part = self._jvm.org.apache.commons.io.input.BoundedInputStream(stream, length)
+            out = bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(part))
+        finally:
+            stream.close()
+        if len(out) != length:
+            raise codec.M.CorruptFormat(f"{name} ends before {offset + length}")
+        return out
+
+    def log(self, name: str) -> Log:
+        """A new, empty appending file."""
+        return Log(self, name)
+
+    def truncate(self, name: str) -> None:
+        """Empties a file."""
+        self._fs.create(self.path(name), True).close()
+
     def write(self, name: str, data: bytes) -> None:
-        """Replaces a file: written beside it, then renamed over it."""
-        tmp = self.path(name + ".tmp")
-        out = self._fs.create(tmp, True)
+        """Replaces a file: written beside it, then renamed over it in one step, so a reader sees the old or the new."""
+        tmp = Log(self, name + ".tmp")
         try:
-            out.write(bytearray(data))
-            out.hsync()
+            tmp.append(data)
         finally:
-            out.close()
-        if self._fs.exists(self.path(name)):
-            self._fs.delete(self.path(name), False)
-        self._fs.rename(tmp, self.path(name))
+            tmp.close()
+        self._replace(name + ".tmp", name)
+
+    def _replace(self, old: str, new: str) -> None:
+        if self._local:  # rename(2) replaces
+            if not self._fs.rename(self.path(old), self.path(new)):
+                raise OSError(f"can't rename {old} to {new}")
+            return
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._spark._jsc.hadoopConfiguration())
+        how = self._spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(self.path(old), self.path(new), how)
 
     def list(self, folder: str) -> list[str]:
         p = self.path(folder)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
 
+    def size(self, folder: str) -> int:
+        return self._fs.getContentSummary(self.path(folder)).getLength()
+
     def delete(self, name: str) -> None:
         self._fs.delete(self.path(name), True)
 
