@@ -1,38 +1,44 @@
 """Membership sketches: false positives, never false negatives."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def positions(key: Column, bits: int, hashes: int) -> Column:
+def positions(key: Column, bits: int | Column, hashes: int) -> Column:
     """Bit positions of a key under independent seeds."""
-    return F.array(*[F.pmod(F.xxhash64(F.lit(s), key), F.lit(bits)) for s in range(hashes)])
-
-
-def build(entries: DataFrame, bits: int = 2048, hashes: int = 4, by: str = "seg") -> DataFrame:
-    """(seg, set_bits): at most ``bits`` positions a segment, combined map-side."""
-    at = entries.select(by, F.explode(positions(F.col("key"), bits, hashes)).alias("bit"))
-    return at.groupBy(by).agg(F.sort_array(F.collect_set("bit")).alias("set_bits"))
-
-
-def might_contain(set_bits: Column, key: Column, bits: int = 2048, hashes: int = 4) -> Column:
-    return F.forall(positions(key, bits, hashes), lambda p: F.array_contains(set_bits, p))
+    bits = F.lit(bits) if isinstance(bits, int) else bits
+    return F.array(*[F.pmod(F.xxhash64(F.lit(s), key), bits) for s in range(hashes)])
 
 
 def sized_bits(distinct: int, rate: float = 0.01) -> int:
     """Bits for a false-positive rate, so that the sketch follows the segment's size."""
-    import math
-
     return max(64, math.ceil(-max(1, distinct) * math.log(rate) / math.log(2) ** 2))
 
 
-def filtered_get(entries: DataFrame, sketch: DataFrame, probes: DataFrame, bits: int = 2048, hashes: int = 4, by: str = "seg") -> DataFrame:
-    """Probes that a segment's sketch lets through, then looked up exactly.
+def build(entries: DataFrame, rate: float = 0.01, hashes: int = 7, by: str = "seg") -> DataFrame:
+    """(seg, bits, bit): the bits set in each segment's sketch, whose size is the power of two that its entries ask for."""
+    per_entry = -math.log(rate) / math.log(2) ** 2
+    sizes = entries.groupBy(by).agg(F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(64.0), F.count("*") * per_entry)))).cast("long").alias("bits"))
+    return entries.select(by, "key").join(sizes, by).select(by, "bits", F.explode(positions(F.col("key"), F.col("bits"), hashes)).alias("bit")).distinct()
+
+
+def passing(sketch: DataFrame, probes: DataFrame, hashes: int = 7, by: str = "seg") -> DataFrame:
+    """(seg, key) of distinct probe keys whose every bit a segment's sketch has.
 
-    Probes meet sketches bit by bit; those pass whose every bit is set.
+    Probes meet sketches bit by bit, by equality: one set of positions for each size of
+    sketch, of which there are at most as many as powers of two.
     """
-    at = F.array_distinct(positions(F.col("key"), bits, hashes))
-    asked = probes.select("key").distinct().select("key", F.size(at).alias("need"), F.explode(at).alias("bit"))
-    held = sketch.select(by, F.explode("set_bits").alias("bit"))
-    maybe = asked.join(held, "bit").groupBy(by, "key", "need").count().where("count = need").select(by, "key")
-    return maybe.join(entries, [by, "key"]).join(probes.select("key"), "key")
+    sizes = sorted(r["bits"] for r in sketch.select("bits").distinct().collect())  # at most 63
+    if not sizes:
+        return probes.sparkSession.createDataFrame([], sketch.select(by).schema).join(probes.select("key").limit(0))
+    asked = probes.select("key").distinct().select("key", F.explode(F.array(*[F.lit(b).cast("long") for b in sizes])).alias("bits"))
+    at = F.array_distinct(positions(F.col("key"), F.col("bits"), hashes))
+    asked = asked.select("key", "bits", F.size(at).alias("need"), F.explode(at).alias("bit"))
+    return asked.join(sketch, ["bits", "bit"]).groupBy(by, "key", "need").count().where("count = need").select(by, "key")
+
+
+def filtered_get(entries: DataFrame, sketch: DataFrame, probes: DataFrame, hashes: int = 7, by: str = "seg") -> DataFrame:
+    """Probes that a segment's sketch lets through, then looked up exactly."""
+    return passing(sketch, probes, hashes, by).join(entries, [by, "key"]).join(probes.select("key"), "key")

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sediment.model import MANIFEST_ADD
+from sediment.operators.changelog import number_rows
+from sediment.sources.staging import folder
 
 FIELDS = ["level", "smallest_key", "largest_key", "file_size"]
 
@@ -25,9 +27,9 @@ def next_manifest_id(actions: DataFrame) -> DataFrame:
 
 
 def compact(actions: DataFrame) -> DataFrame:
-    """The live set re-emitted as adds of one new manifest, in id order."""
+    """The live set re-emitted as adds of one new manifest, in id order, numbered by range partitions."""
     newest = actions.agg(F.coalesce(F.max("manifest_id") + 1, F.lit(0)).cast("long").alias("manifest_id"))
     kept = live(actions)
-    ranked = kept.agg(F.array_sort(F.collect_list(F.struct("file_id", *[c for c in kept.columns if c != "file_id"]))).alias("all"))
-    return (ranked.join(F.broadcast(newest), F.lit(True)).select("manifest_id", F.posexplode("all").alias("ord", "m"))
-            .select("manifest_id", F.col("ord").cast("long").alias("ord"), F.lit(MANIFEST_ADD).alias("action"), "m.*"))
+    rest = [c for c in kept.columns if c != "file_id"]
+    ranked = number_rows(kept, ["file_id"], 0, folder(actions.sparkSession, "manifest"))
+    return ranked.join(F.broadcast(newest), F.lit(True)).select("manifest_id", F.col("seq").cast("long").alias("ord"), F.lit(MANIFEST_ADD).alias("action"), "file_id", *rest)

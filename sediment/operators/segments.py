@@ -3,11 +3,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sediment.functions.scalars import memory_size
 from sediment.operators.resolve import dedupe_segments
+from sediment.sources.staging import staged
 
 
 def memtable_sizes(log: DataFrame) -> DataFrame:
@@ -53,22 +56,92 @@ def rotation_points(sizes: DataFrame, threshold: int) -> DataFrame:
 
 
 def rotate_distinct(sizes: DataFrame, threshold: int) -> DataFrame:
-    """The same boundaries when keys never repeat, as a JVM-side ordered fold."""
-    rows = sizes.agg(F.array_sort(F.collect_list(F.struct("seq", "size"))).alias("rows"))
-    zero = F.struct(F.lit(0).cast("long").alias("open"), F.expr("cast(array() as array<struct<last_seq:bigint,bytes:bigint>>)").alias("cuts"), F.lit(0).cast("long").alias("seq"))
-
-    def step(a, r):
-        total = a["open"] + r["size"]
-        full = total >= threshold
-        return F.struct(F.when(full, F.lit(0).cast("long")).otherwise(total).alias("open"),
-                        F.when(full, F.concat(a["cuts"], F.array(F.struct(r["seq"].alias("last_seq"), total.alias("bytes"))))).otherwise(a["cuts"]).alias("cuts"),
-                        r["seq"].alias("seq"))
-
-    def close(a):
-        return F.when(a["open"] > 0, F.concat(a["cuts"], F.array(F.struct(a["seq"].alias("last_seq"), a["open"].alias("bytes"))))).otherwise(a["cuts"])
-
-    return (rows.select(F.posexplode(F.aggregate("rows", zero, step, close)).alias("seg", "c"))
-            .select(F.col("seg").cast("long").alias("seg"), "c.last_seq", "c.bytes"))
+    """The same boundaries when keys never repeat: (seg, last_seq, bytes).
+
+    Where a segment ends depends on where the one before it did, so a range partition of the
+    stream says, for each write that may end its first segment, what its last segment leaves
+    over; there are at most as many such writes as fit in one segment. Those summaries are
+    read in order by one task, which knows what each partition starts with; then all
+    partitions emit their boundaries at once. No task holds more than a partition.
+    """
+    ranged = sizes.select("seq", "size").repartitionByRange("seq").withColumn("part", F.spark_partition_id())
+    rows = staged(ranged, "rotation")
+
+    def by_part(run):
+        """``run`` on the columns of each part, in order."""
+        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, now = [], None
+            for b in batches:
+                cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+                for cut in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(cols[0])) + 1):
+                    if not len(cut):
+                        continue
+                    if held and cols[0][cut[0]] != now:
+                        yield run(*(np.concatenate(c) for c in zip(*held)))
+                        held = []
+                    now = cols[0][cut[0]]
+                    held.append([c[cut] for c in cols])
+            if held:
+                yield run(*(np.concatenate(c) for c in zip(*held)))
+        return over
+
+    def ends(total: np.ndarray) -> np.ndarray:
+        """For a segment that ends with each write, the write that ends the next one."""
+        return np.searchsorted(total, total + threshold)
+
+    def summary(part, seq, size):
+        total = np.cumsum(size)
+        n, first = len(total), int(np.searchsorted(total, threshold)) + 1
+        last, cuts, to = np.arange(n + 1), np.append(np.ones(n, np.int64), 0), np.append(ends(total), n)
+        while (to[:n] < n).any():  # twice as far each time
+            ahead = to[to[:n]]
+            go = to[:n] < n
+            last[:n] = np.where(go, last[to[:n]], last[:n])
+            cuts[:n] += np.where(go, cuts[to[:n]], 0)
+            to[:n] = np.where(go, ahead, n)
+        k = min(first, n)
+        return pa.RecordBatch.from_pydict({"part": pa.array(part[:k].astype(np.int32)), "total": pa.array(total[:k]), "left": pa.array(total[-1] - total[last[:k]]), "cuts": pa.array(cuts[:k]), "all": pa.array(np.full(k, total[-1]))})
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = seg = 0
+        out = []
+
+        def run(part, total, left, cuts, every):
+            nonlocal carry, seg
+            out.append((int(part[0]), carry, seg))
+            i = int(np.searchsorted(total, threshold - carry))
+            if i < len(total):
+                carry, seg = int(left[i]), seg + int(cuts[i])
+            else:
+                carry += int(every[0])
+            return None
+
+        for _ in by_part(run)(batches):
+            pass
+        p, c, g = zip(*out) if out else ((), (), ())
+        last = [i == len(p) - 1 for i in range(len(p))]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(p, pa.int32()), "carry": pa.array(c, pa.int64()), "seg": pa.array(g, pa.int64()), "final": pa.array(last, pa.bool_())})
+
+    def emit(part, seq, size, carry, seg, final):
+        total, cuts = np.cumsum(size), []
+        after, i = ends(total), int(np.searchsorted(total, threshold - carry[0]))
+        while i < len(total):
+            cuts.append(i)
+            i = int(after[i])
+        at = np.array(cuts, np.int64)
+        size = np.diff(total[at], prepend=-carry[0]) if len(at) else np.zeros(0, np.int64)
+        seq_of, left = seq[at], total[-1] - total[at[-1]] if len(at) else total[-1] + carry[0]
+        if final[0] and left > 0:
+            seq_of, size = np.append(seq_of, seq[-1]), np.append(size, left)
+        return pa.RecordBatch.from_pydict({"seg": pa.array(seg[0] + np.arange(len(size))), "last_seq": pa.array(seq_of), "bytes": pa.array(size)})
+
+    ordered = rows.select(F.col("part").cast("int").alias("part"), F.col("seq").cast("long").alias("seq"), F.col("size").cast("long").alias("size"))
+    by = ordered.repartition("part").sortWithinPartitions("part", "seq")
+    summaries = staged(by.mapInArrow(by_part(summary), "part int, total long, left long, cuts long, all long"), "rotation-summaries")
+    begins = summaries.repartition(1).sortWithinPartitions("part", "total").mapInArrow(starts, "part int, carry long, seg long, final boolean")
+    known = ordered.join(F.broadcast(staged(begins, "rotation-starts")), "part")  # one row a partition
+    known = known.repartition("part").sortWithinPartitions("part", "seq").select("part", "seq", "size", "carry", "seg", "final")
+    return known.mapInArrow(by_part(emit), "seg long, last_seq long, bytes long")
 
 
 def flush_oldest(log: DataFrame, maximum_memtables: int = 4) -> DataFrame:

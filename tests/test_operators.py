@@ -9,6 +9,9 @@ from sediment.plans import workloads
 from sediment.streaming.ingest import ingest, latest
 
 
+ACTIONS = "manifest_id long, ord long, action int, file_id long, size long"
+
+
 def log(spark, rows):
     return spark.createDataFrame(rows, "seg long, seq long, kind int, key string, value string")
 
@@ -53,13 +56,40 @@ def test_floor_before_first_exact_between_after(spark):
 
 
 def test_sketch_has_no_false_negatives(spark):
-    held = spark.range(300).selectExpr("id % 3 as seg", "concat('k', id) as key", "1 as kind", "'v' as value")
-    bits = bloom.sized_bits(100)
-    sketch = bloom.build(held, bits, 7)
-    probes = held.select("key").unionByName(spark.range(600).selectExpr("concat('no', id) as key"))
-    let = probes.join(sketch, bloom.might_contain(F.col("set_bits"), F.col("key"), bits, 7))
-    assert let.where("key like 'k%'").count() >= 300 and let.where("key like 'no%'").count() < 60
-    assert bloom.filtered_get(held, sketch, probes, bits, 7).count() == 300
+    held = spark.range(300).selectExpr("if(id < 250, 0, 1) as seg", "concat('k', id) as key", "1 as kind", "'v' as value")
+    sketch = bloom.build(held)
+    assert {r["seg"]: r["bits"] for r in sketch.select("seg", "bits").distinct().collect()} == {0: 4096, 1: 512}
+    probes = held.select("key").unionByName(spark.range(2000).selectExpr("concat('no', id) as key"))
+    let = bloom.passing(sketch, probes)
+    assert let.where("key like 'k%'").join(held, ["seg", "key"]).count() == 300 and let.where("key like 'no%'").count() < 2000 * 2 * 0.02
+    assert bloom.filtered_get(held, sketch, probes).count() == 300
+    assert bloom.sized_bits(100) == 959
+
+
+def test_rotation_by_partitions_equals_a_fold(spark):
+    import random
+    for seed, threshold in ((1, 50), (2, 9), (3, 400), (4, 10 ** 6)):
+        rng = random.Random(seed)
+        rows = [(i * 3, rng.choice([1, 2, 7, 30])) for i in range(500)]
+        want, total = [], 0
+        for q, n in rows:
+            total += n
+            if total >= threshold:
+                want.append((len(want), q, total))
+                total = 0
+        if total:
+            want.append((len(want), rows[-1][0], total))
+        got = segments.rotate_distinct(spark.createDataFrame(rows, "seq long, size long"), threshold)
+        assert sorted(map(tuple, got.collect())) == want
+    assert segments.rotate_distinct(spark.createDataFrame([], "seq long, size long"), 5).count() == 0
+
+
+def test_no_plan_gathers_a_table_in_one_row_or_nests_loops(spark):
+    held = spark.range(100).selectExpr("id % 3 as seg", "concat('k', id) as key", "1 as kind", "'v' as value")
+    acts = spark.createDataFrame([(0, i, 1, i, 5) for i in range(9)], ACTIONS)
+    for df in (blocks.pack_blocks(held), manifest.compact(acts), bloom.filtered_get(held, bloom.build(held), held.select("key")), segments.rotate_distinct(spark.createDataFrame([(1, 5)], "seq long, size long"), 3)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "Cartesian" not in plan
 
 
 def test_probes_meet_the_sketches_of_all_segments_by_an_equality(spark):
@@ -72,9 +102,6 @@ def test_probes_meet_the_sketches_of_all_segments_by_an_equality(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-ACTIONS = "manifest_id long, ord long, action int, file_id long, size long"
-
-
 @pytest.mark.parametrize("rows, live, nxt", [
     ([(0, 0, 1, 1, 5), (0, 1, 1, 2, 5), (0, 2, 2, 1, None)], [2], 3), ([(0, 0, 1, 7, 5), (0, 1, 1, 3, 5)], [3, 7], 8), ([], [], 0),
     ([(0, 0, 1, 1, 5), (1, 0, 2, 1, None), (2, 0, 1, 1, 9)], [1], 2), ([(0, 0, 2, 4, None)], [], 0)])
