@@ -9,6 +9,9 @@ from sediment.operators import blocks, bloom, manifest, resolve, segments
 from sediment.operators.changelog import events_log, with_sizes
 from sediment.plans import recovery, workloads
 from sediment.session import ship
+from sediment.sources import codec
+from sediment.sources.files import Files, read_manifests, read_sstables, read_wal, write_manifests, write_sstables, write_wals
+from sediment.sources.staging import folder
 
 
 def _events(spark: SparkSession, d: str, per_segment: int = 50) -> DataFrame:
@@ -131,8 +134,60 @@ def block_floor(spark, d):
 
 
 def bloom_get(spark, d):
-    held = resolve.dedupe_segments(_events(spark, d)).where("seg = 0")
-    return bloom.filtered_get(held, bloom.build(held), _asked(spark, d)).select("key", "kind", "value")
+    held = resolve.dedupe_segments(_events(spark, d))
+    return bloom.filtered_get(held, bloom.build(held), _asked(spark, d)).select("seg", "key", "kind", "value")
+
+
+def bloom_passing(spark, d):
+    """What the sketches let through of ten times the keys that there are: all held ones, and few others."""
+    held = resolve.dedupe_segments(_events(spark, d)).select("seg", "key")
+    asked = _asked(spark, d)
+    others = asked.select(F.explode(F.array(*[F.concat("key", F.lit(f"-{i}")) for i in range(9)])).alias("key"))
+    got = bloom.passing(bloom.build(held), asked.unionByName(others)).withColumn("passed", F.lit(1))
+    all_of = got.join(held.withColumn("held", F.lit(1)), ["seg", "key"], "full").groupBy("seg").agg(
+        F.count("held").cast("long").alias("held"), F.expr("count_if(held = 1 and passed is null)").cast("long").alias("missed"), F.expr("count_if(held is null)").alias("_false"))
+    room = asked.count() * 10
+    return all_of.select("seg", "held", "missed", (F.col("_false") <= 0.05 * room).alias("few_false"))
+
+
+def _files(spark) -> Files:
+    return Files(ship(spark), folder(spark, "byte-files"))
+
+
+def _as_text(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "binary"})
+
+
+def wal_files(spark, d):
+    """The change log written as log files and replayed from them."""
+    files = _files(spark)
+    write_wals(_events(spark, d, 1000), files, "wal")
+    return _as_text(read_wal(spark, f"{files.root}/wal"))
+
+
+def sstable_files(spark, d):
+    """Sorted segments written as segment files and scanned."""
+    files = _files(spark)
+    write_sstables(resolve.dedupe_segments(_events(spark, d, 1000)).withColumnRenamed("seg", "file_id"), files, "sst")
+    return _as_text(read_sstables(spark, f"{files.root}/sst"))
+
+
+def manifest_files(spark, d):
+    """The manifest history written as files, read back and folded, level and size among its fields."""
+    log, files = _events(spark, d), _files(spark)
+    sizes = segments.memtable_sizes(log).select(F.col("seg").alias("file_id"), F.col("bytes").alias("file_size"))
+    acts = _actions(log).join(sizes, "file_id").withColumn("level", (F.col("file_id") % 3).cast("int")).drop("entries")
+    write_manifests(acts, files, "manifest")
+    return _as_text(manifest.live(read_manifests(spark, f"{files.root}/manifest")))
+
+
+def current_file(spark, d):
+    """The four next ids written to the pointer file, replaced once, and read back."""
+    files, row = _files(spark), recovery.current_state(_events(spark, d)).first().asDict()
+    files.write("CURRENT", codec.encode_state(dict.fromkeys(row, 0)).encode())
+    files.write("CURRENT", codec.encode_state(row).encode())
+    state = codec.decode_state(files.read("CURRENT").decode())
+    return spark.createDataFrame([tuple(state[k] for k in row)], ", ".join(f"{k} long" for k in row))
 
 
 def crash_verify(spark, d):
@@ -142,7 +197,7 @@ def crash_verify(spark, d):
 
 
 def random_index(spark, d):
-    return workloads.reads(spark, 2000, 20000)
+    return workloads.reads(spark, 20000, 20000)
 
 
 def mixed_workload(spark, d):
@@ -162,9 +217,10 @@ def write_workload(spark, d):
 
 
 def read_workload(spark, d):
-    """Pseudo-random batch gets against loaded orders: (op, index, value)."""
+    """Pseudo-random batch gets against loaded orders, as many as there are keys and at least 20,000: (op, index, value)."""
     o = _orders(spark, d).select((F.col("seq")).alias("index"), "value")
-    return workloads.reads(spark, 2000, 20000).join(o, "index", "left").select("op", "index", "value")
+    keys = o.count()
+    return workloads.reads(spark, max(20000, keys), keys).join(o, "index", "left").select("op", "index", "value")
 
 
 def hot_index(spark, d):
@@ -215,20 +271,30 @@ CATALOGUE = {
     "kv_wal_replay": (wal_replay, f"with {CL} select seg, count(*)::bigint as records, min(seq) as min_seq, max(seq) as max_seq, sum(29+strlen(key)+coalesce(strlen(value),0))::bigint as log_bytes from cl group by seg"),
     "kv_recovery": (recover, f"with {CL}, late as (select * from cl where seg>=(select max(seg) from cl)-4), t as (select *, row_number() over (partition by key order by seg desc, seq desc) r from late) select key, value from t where r=1 and kind=1"),
     "kv_rotation": (rotation, _FOLD.format(t=ROTATE_AT, src="select o_orderkey as seq, 24+1+strlen(o_orderpriority) as size from orders")),
-    "kv_rotation_overwrites": (rotation_overwrites, None),
+    "kv_rotation_overwrites": (rotation_overwrites, f"""with recursive {CL}, o as (select row_number() over (order by seq) i, seq, (strlen(key)+1+coalesce(strlen(value),0))::bigint as size,
+  lag(seq) over (partition by key order by seq) as old_seq, lag(strlen(key)+1+coalesce(strlen(value),0)) over (partition by key order by seq) as old_size from cl),
+ f as (select i, seq, size as acc, 0::bigint as seg, size>=2048 as cut, seq as opened from o where i=1
+  union all select o.i, o.seq, (case when f.cut then o.size else f.acc+o.size-case when o.old_seq>=f.opened then o.old_size else 0 end end)::bigint, (f.seg+case when f.cut then 1 else 0 end)::bigint,
+  (case when f.cut then o.size else f.acc+o.size-case when o.old_seq>=f.opened then o.old_size else 0 end end)>=2048, case when f.cut then o.seq else f.opened end from f join o on o.i=f.i+1)
+ select seg, max(seq)::bigint as last_seq, arg_max(acc, seq)::bigint as bytes from f group by seg"""),
     "kv_block_index": (block_index, f"""with recursive {_CL.format(n=1000)}, {SST}, o as (select seg, key, (9+strlen(key)+coalesce(strlen(value),0))::bigint as size, row_number() over (partition by seg order by key) i from sst),
  f as (select seg, i, key as first_key, 0::bigint as block_id, (4+size)::bigint as bytes, 1::bigint as entries from o where i=1
   union all select o.seg, o.i, case when f.bytes+o.size>4096 then o.key else f.first_key end, (f.block_id+case when f.bytes+o.size>4096 then 1 else 0 end)::bigint,
   (case when f.bytes+o.size>4096 then 4+o.size else f.bytes+o.size end)::bigint, (case when f.bytes+o.size>4096 then 1 else f.entries+1 end)::bigint from f join o on o.seg=f.seg and o.i=f.i+1)
  select seg, block_id, first_key, max(entries)::bigint as entries, max(bytes)::bigint as bytes from f group by seg, block_id, first_key"""),
     "kv_block_floor": (block_floor, f"with {CL}, k as (select distinct key from cl), x as (select key as first_key from k where right(key,1)='7') select k.key, x.first_key from k asof left join x on k.key>=x.first_key"),
-    "kv_bloom_get": (bloom_get, f"with {CL}, {SST} select key, kind, value from sst where seg=0"),
+    "kv_bloom_get": (bloom_get, f"with {CL}, {SST} select seg, key, kind, value from sst"),
+    "kv_bloom_passing": (bloom_passing, f"with {CL}, {SST} select seg, count(*)::bigint as held, 0::bigint as missed, true as few_false from sst group by seg"),
+    "kv_wal_files": (wal_files, f"with {_CL.format(n=1000)} select seg as wal_id, (row_number() over (partition by seg order by seq)-1)::bigint as pos, seq, kind, key, value from cl"),
+    "kv_sstable_files": (sstable_files, f"with {_CL.format(n=1000)}, {SST} select seg as file_id, key, kind, value from sst"),
+    "kv_manifest_files": (manifest_files, f"with {CL}, {SST}, {META}, {ACTS}, {LIVE}, b as (select seg, sum(strlen(key)+1+coalesce(strlen(value),0))::bigint as file_size from sst group by seg) select file_id, (file_id%3)::bigint as level, smallest_key, largest_key, file_size from live join b on b.seg=file_id"),
+    "kv_current_file": (current_file, f"with {CL} select greatest(max(seg)-4,0)::bigint as next_sstable_id, (max(seg)+1)::bigint as next_wal_id, 1::bigint as next_manifest_id, (max(seq)+1)::bigint as next_sequence_id from cl"),
     "kv_crash_verify": (crash_verify, f"with {CL}, {TOP}, acked as (select key, arg_max(kind,seq) k, arg_max(value,seq) filter (where true) v from cl group by key) select count(*)::bigint as mismatches from acked a left join top t on t.key=a.key and t.kind=1 where a.k=1 and (t.key is null or a.v is distinct from t.value)"),
-    "kv_random_index": (random_index, f"select op, ({_MULL}%20000)::bigint as index from range(2000) t(op)"),
+    "kv_random_index": (random_index, f"select op, ({_MULL}%20000)::bigint as index from range(20000) t(op)"),
     "kv_mixed_workload": (mixed_workload, f"with m as (select case when op%100<50 then 'get' else 'put' end as action, case when op%100<50 then ({_MULL}%10000)::bigint else op+10000 end as index from range(20000) t(op)) select action, count(*)::bigint as ops, count(distinct index)::bigint as distinct_keys, sum(index)::bigint as index_sum from m group by action"),
     "kv_value_gen": (value_gen, "select 'key-'||lpad(i::varchar,20,'0') as key, hex(('value-'||lpad(i::varchar,20,'0')||':')::blob)||(select string_agg(printf('%02X',((i+o)%251)::int),'' order by o) from range(27,64) r(o)) as value_hex from range(2000) t(i)"),
     "kv_write_workload": (write_workload, "with w as (select i+1 as seq, (i//3732)::bigint as seg from range(20000) t(i)) select seg, max(seq)::bigint as last_seq, (count(*)*281)::bigint as bytes from w group by seg"),
-    "kv_read_workload": (read_workload, f"with r as (select op, ({_MULL}%20000)::bigint as index from range(2000) t(op)) select r.op, r.index, o.o_orderpriority as value from r left join orders o on o.o_orderkey=r.index"),
+    "kv_read_workload": (read_workload, f"with n as (select count(*)::bigint as n from orders), r as (select op, ({_MULL}%n)::bigint as index from (select unnest(range(greatest(20000, n))) as op, n from n)) select r.op, r.index, o.o_orderpriority as value from r left join orders o on o.o_orderkey=r.index"),
     "kv_hot_index": (hot_index, "select user_id as key_hash, floor(event_id/50)::bigint as page_id from events where event_type='click' union all select user_id, floor(event_id/50)::bigint from events where event_type='view'"),
     "kv_wal_checksum": (wal_checksum, None),
 }

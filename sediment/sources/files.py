@@ -141,16 +141,48 @@ class Files:
         self._fs.delete(self.path(name), True)
 
 
+def _write_each(rows: DataFrame, by: str, encode, files: Files, name) -> None:
+    """Writes one file for each value of ``by``: encoded by the executors, written one at a time by the driver, which never holds more."""
+    ship(rows.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"id": [pdf[by].iloc[0]], "content": [encode(pdf)]})
+
+    for r in rows.groupBy(by).applyInPandas(run, "id long, content binary").toLocalIterator():
+        files.write(name(r["id"]), bytes(r["content"]))
+
+
+def _raw(x) -> bytes | None:
+    return None if x is None else x.encode() if isinstance(x, str) else bytes(x)
+
+
 def write_sstables(entries: DataFrame, files: Files, folder: str = "", target: int = codec.M.BLOCK_BYTES) -> None:
     """Writes (file_id, key, kind, value) rows as sorted segment files in the byte format.
 
     A segment is encoded whole by one task, as the format is one file a segment; segments
-    are memtable-sized. The driver writes one at a time and never holds them all.
+    are memtable-sized.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted((bytes(k), int(kind), None if v is None else bytes(v)) for k, kind, v in zip(pdf["key"], pdf["kind"], pdf["value"]))
-        return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "content": [codec.encode_sstable(rows, target)]})
+    def encode(pdf):
+        return codec.encode_sstable(sorted((_raw(k), int(kind), _raw(v)) for k, kind, v in zip(pdf["key"], pdf["kind"], pdf["value"])), target)
+
+    _write_each(entries, "file_id", encode, files, lambda i: f"{folder}/{i:020}.sst".lstrip("/"))
+
+
+def write_wals(log: DataFrame, files: Files, folder: str = "") -> None:
+    """Writes (seg, seq, kind, key, value) rows as log files in the byte format, by sequence number."""
+    def encode(pdf):
+        pdf = pdf.sort_values("seq")
+        return b"".join(codec.encode_wal(int(seq), int(kind), _raw(k), _raw(v)) for seq, kind, k, v in zip(pdf["seq"], pdf["kind"], pdf["key"], pdf["value"]))
+
+    _write_each(log, "seg", encode, files, lambda i: f"{folder}/wal_{i}.log".lstrip("/"))
+
+
+def write_manifests(actions: DataFrame, files: Files, folder: str = "") -> None:
+    """Writes (manifest_id, ord, action, file_id, level, smallest_key, largest_key, file_size) rows as manifest files, in order."""
+    def encode(pdf):
+        pdf = pdf.sort_values("ord")
+        add = codec.M.MANIFEST_ADD
+        return b"".join(codec.encode_action(int(a), int(f), (int(level), _raw(low), _raw(high), int(size)) if a == add else None)
+                        for a, f, level, low, high, size in zip(*(pdf[c] for c in ("action", "file_id", "level", "smallest_key", "largest_key", "file_size"))))
 
-    ship(entries.sparkSession)
-    for r in entries.groupBy("file_id").applyInPandas(run, "file_id long, content binary").toLocalIterator():
-        files.write(f"{folder}/{r['file_id']:020}.sst".lstrip("/"), bytes(r["content"]))
+    _write_each(actions, "manifest_id", encode, files, lambda i: f"{folder}/{i:020}.manifest".lstrip("/"))
