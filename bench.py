@@ -3,7 +3,8 @@
 BENCH_SF_DIR names the tables (default sf0.1), BENCH_CPUS the local threads. Each query
 is run once to warm up and once timed, to a sink that computes every column. The
 workloads are the published ones: 20,000 puts of 256-byte values, 20,000 reads of
-loaded keys, and 20,000 operations of which half read and half write.
+loaded keys, and 20,000 operations of which half read and half write, in batches with one
+synced write each; and 500 single puts, each synced.
 """
 from __future__ import annotations
 
@@ -15,12 +16,13 @@ import time
 
 from pyspark.sql import SparkSession, functions as F
 
+from sediment.functions.scalars import make_key, make_value
 from sediment.model import EngineConfig
-from sediment.operators import resolve
 from sediment.plans import workloads
 from sediment.plans.catalogue import CATALOGUE
 from sediment.plans.engine import Engine
 
+SINGLE = 500
 HEADLINES = ["kv_latest_state", "kv_multi_get", "kv_layered_get", "kv_segment_scan", "kv_segment_meta", "kv_memtable_size", "kv_manifest_live", "kv_wal_replay", "kv_recovery",
              "kv_rotation", "kv_block_floor", "kv_bloom_get", "kv_mixed_workload", "kv_value_gen"]
 
@@ -52,12 +54,22 @@ def main() -> None:
         sink(store.multi_get(keys))
 
     def mixed():
-        ops = workloads.mixed(spark, n, n)
-        keyed = ops.select("action", F.expr("cast(concat('key-', lpad(index, 20, '0')) as binary)").alias("key"))
-        log = store.log().unionByName(keyed.where("action = 'put'").select(F.lit(1 << 40).alias("seg"), F.lit(0).cast("long").alias("seq"), F.lit(1).alias("kind"), "key", F.col("key").alias("value")))
-        sink(resolve.multi_get(keyed.where("action = 'get'").select("key"), log))
+        """10,000 gets over 10,000 loaded keys and 10,000 puts of 256-byte values, a hundred operations a batch of either."""
+        e = Engine(spark, EngineConfig(f"{at}/mixed{next(made)}", 1 << 20, 4))
+        e.load(workloads.writes(spark, n // 2).drop("seg", "seq"))
+        ops = workloads.mixed(spark, n, n // 2)
+        puts = ops.where("action = 'put'").select(make_key(F.col("index")).cast("binary").alias("key"), make_value(F.col("index"), 256).cast("binary").alias("value")).collect()
+        e.write([(bytes(r["key"]), bytes(r["value"])) for r in puts])
+        sink(e.multi_get(ops.where("action = 'get'").select(make_key(F.col("index")).cast("binary").alias("key"))))
+        assert (e.immutable_memtable_count(), e.memtable_size()) == (2, (n // 2 - 2 * 3732) * 281)
 
-    runs |= {"load_20000": write, "log_writes_20000": write_through_log, "reads_20000": read, "mixed_20000": mixed}
+    def single_puts():
+        """One synced append a put."""
+        e = Engine(spark, EngineConfig(f"{at}/single{next(made)}", 1 << 30, 64))
+        for i in range(SINGLE):
+            e.put(f"key-{i:020}".encode(), bytes(256))
+
+    runs |= {"load_20000": write, "log_writes_20000": write_through_log, "reads_20000": read, "mixed_20000": mixed, f"single_puts_{SINGLE}": single_puts}
     timed = {}
     for name, run in runs.items():
         run()
@@ -65,6 +77,7 @@ def main() -> None:
         run()
         timed[name] = round(time.perf_counter() - began, 3)
     per_second = {k: round(n / timed[k]) for k in ("load_20000", "log_writes_20000", "reads_20000", "mixed_20000")}
+    per_second[f"single_puts_{SINGLE}"] = round(SINGLE / timed[f"single_puts_{SINGLE}"])
     print(json.dumps({"metric": "total time of the headline queries", "value": round(sum(timed.values()), 3), "unit": "sec", "queries": timed, "operations_per_second": per_second, "sf": data.rstrip("/").rsplit("sf", 1)[-1]}))
     spark.stop()
     shutil.rmtree(at, ignore_errors=True)
