@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import gc
 import re
+from array import array
 from bisect import insort
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ SIGN = "▁"
 UNKNOWN = 10.0
 NEVER = float("-inf")
 MEMO = 450_000
+#: Characters of a stretch beyond which its lattice isn't held, but looked up where the search goes.
+LONG = 4096
 #: Numbers that a pattern's ``[^\W\d_]`` takes for letters, as superscripts, and ``isalpha`` doesn't.
 NUMBERS = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 BATCH_ROWS = 512
@@ -70,7 +73,8 @@ class Pieces(dict):
         self.longest = max(map(len, self.piece), default=1)
         # every beginning of a piece: (score, ids) where it is a piece itself, else empty
         self.begun: dict[str, tuple] = {s[:k]: () for s in self.piece for k in range(1, len(s))}
-        self.begun.update({s: (score, (i,)) for s, (score, i) in self.piece.items()})
+        self.piece_ids = {s: (score, (i,)) for s, (score, i) in self.piece.items()}
+        self.begun.update(self.piece_ids)
         self.cut, self.cut_numbers = self._borders(), self._borders("".join(sorted(NUMBERS)))
 
     def _borders(self, numbers: str = ""):
@@ -113,6 +117,8 @@ class Pieces(dict):
         An agenda entry's estimate is exact: some whole segmentation through it has that
         score. So an entry behind as many others as are still wanted can be dropped.
         """
+        if len(s) > LONG:
+            return self._back(len(s), self._prefixes(s), lambda j: self._into(s, j))
         end, longest, begun = len(s), self.longest, self.begun
         best = [NEVER] * (end + 1)
         best[0] = 0.0
@@ -133,6 +139,35 @@ class Pieces(dict):
                 into[j].append((i, self.unknown, ids))
                 if b + self.unknown > best[j]:
                     best[j] = b + self.unknown
+        return self._back(end, best, into.__getitem__)
+
+    def _prefixes(self, s: str) -> array:
+        """The best score of every prefix: 8 bytes a character, whatever the stretch."""
+        end, longest, begun = len(s), self.longest, self.begun
+        best = array("d", [NEVER]) * (end + 1)
+        best[0] = 0.0
+        for i in range(end):
+            b, single = best[i], False
+            for j in range(i + 1, min(end, i + longest) + 1):
+                got = begun.get(s[i:j])
+                if got is None:
+                    break
+                if got:
+                    single = single or j == i + 1
+                    best[j] = max(best[j], b + got[0])
+            if not single:
+                best[i + 1] = max(best[i + 1], b + self.unknown)
+        return best
+
+    def _into(self, s: str, j: int) -> list[tuple[int, float, tuple]]:
+        """(start, score, ids) of each edge that ends at j, looked up anew."""
+        out = [(i, *self.piece_ids[s[i:j]]) for i in range(max(0, j - self.longest), j) if s[i:j] in self.piece_ids]
+        if not out or out[-1][0] != j - 1:
+            out.append((j - 1, self.unknown, tuple([self.byte_id[x] for x in s[j - 1].encode("utf-8", "replace")])))
+        return out
+
+    def _back(self, end: int, best, into) -> list[tuple[float, tuple[int, ...]]]:
+        """A* from the end of a stretch; ``into`` gives the edges that end at a place."""
         # entries (-estimate, order of arrival, place, score so far, (ids, later path)), least first
         agenda, out, tick, want = [(-best[end], 0, end, 0.0, None)], [], 1, self.n
         while agenda:
@@ -148,7 +183,7 @@ class Pieces(dict):
                     break
                 del agenda[want:]
                 continue
-            for i, score, ids in into[at]:
+            for i, score, ids in into(at):
                 g = score + done
                 f = -(best[i] + g)
                 if len(agenda) < want:
