@@ -1,7 +1,7 @@
 """SimHash fingerprints, and exact links between close ones through vantage-point trees.
 
 Fingerprints of equal text collapse before anything is compared. A top tree, built on
-the driver from a bounded sample, splits Hamming space into shards: each node holds a
+the driver from a sample of one in a thousand or 20,000, splits Hamming space into shards: each node holds a
 vantage fingerprint and a radius. Every fingerprint has one home shard, and is also
 sent to each shard that the triangle bound can't rule out for it, so every pair within
 the distance meets in the home shard of either one. A shard's task searches its home
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from sediment.llm.common import new_path, scratch, stage, text_bytes
 
 SEED = 42
-#: Fingerprints that a shard is meant to hold; fingerprints in the top tree's sample at most.
-SHARD, SAMPLE = 8192, 20_000
+#: Fingerprints that a shard is meant to hold; fingerprints in the top tree's sample at least, and for each shard.
+SHARD, SAMPLE, PER_SHARD = 8192, 20_000, 8
 LEAF = 256
 
 
@@ -172,7 +172,11 @@ def links(distinct: DataFrame, count: int, distance: int, shard: int = SHARD) ->
     """(fp, to): stars that span every group of distinct fingerprints linked within a shard."""
     spark = distinct.sparkSession
     shards = max(1, -(-count // shard))
-    sample = np.array([r["fp"] for r in distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    # by a threshold on a hash, a thousandth of the fingerprints once they are many, so shards stay as large as they are meant
+    want = max(SAMPLE, PER_SHARD * shards)
+    some = distinct.select("fp").where(F.xxhash64("fp") <= min((1 << 63) - 1, int(want / max(1, count) * (1 << 64)) - (1 << 63)))
+    sample = np.sort(np.array([r["fp"] for r in some.collect()], np.int64).view(np.uint64))
+    sample = np.random.default_rng(1).permutation(sample)
     tree = spark.sparkContext.broadcast(top_tree(sample, shards))
 
     def spread(batches):
