@@ -121,6 +121,17 @@ def test_simhash_of_odd_documents(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_many_shards_in_spark_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    fp = rng.integers(0, 1 << 63, 150, dtype=np.uint64)[rng.integers(0, 150, 900)]
+    for _ in range(3):
+        fp ^= np.where(rng.random(900) < 0.5, np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64), np.uint64(0))
+    near = np.argwhere(np.bitwise_count(fp[:, None] ^ fp) <= 2)
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(fp.view(np.int64))], "doc_id long, fp long")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.classes(df, 2, shard=40).collect()}
+    assert [got[i] for i in range(900)] == joined(900, near.tolist())
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 40)] + [(300, 301)]
     got = {r["fp"]: r["label"] for r in simhash.components(spark.createDataFrame(edges, "fp long, to long")).collect()}

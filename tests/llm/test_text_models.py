@@ -43,6 +43,25 @@ def test_search_equals_brute_force(text):
     assert all(p.decode(ids) == text.encode() for _, ids in found)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.text("the an.,!é日\n", min_size=1, max_size=40))
+def test_long_stretches_are_searched_alike(text):
+    p, old = nbest.pieces(PIECES, 4), nbest.LONG
+    want = p.search(text)
+    try:
+        nbest.LONG = 0
+        assert p.search(text) == want
+    finally:
+        nbest.LONG = old
+
+
+def test_one_very_long_stretch_is_searched():
+    p = nbest.pieces(PIECES, 3)
+    text = "supercalifragilistic" * 5000
+    assert len(p.stretches(text)) == 1 and len(found := p.segment(text)) == 3
+    assert all(p.decode(ids) == text.encode() for _, ids in found) and found[0][0] >= found[1][0] >= found[2][0]
+
+
 def test_op10_round_trips(spark, small):
     got = QUERIES["op10_nbest"](spark, small).toPandas()
     docs = pq.read_table(f"{small}/documents.parquet").to_pandas()
