@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -48,7 +50,10 @@ class Encoder(dict):
         self.pieces: dict[str, bytes] = {}
 
     def _ids(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        got = array(self.dtype.char, ids)
+        if sys.byteorder != "little":
+            got.byteswap()
+        return got.tobytes()
 
     def _piece(self, p: str) -> bytes:
         got = self._ids([t.id for t in self.model.tokenize(p if p.isascii() else "".join([self.letters[b] for b in p.encode()]))])
@@ -58,13 +63,13 @@ class Encoder(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         s = chunk.decode("utf-8", "replace")
-        found = _PIECE.findall(s) if self.direct and "<|" not in s else []
-        if found and sum(map(len, found)) == len(s):
-            found = [p.lower() for p in found]
-            if len(found) == 1:
-                ids = self.pieces.get(found[0]) or self._piece(found[0])
-            else:  # a word with signs: the word alone may be known
-                ids = b"".join([self.pieces.get(p) or self.get(p.encode()) or self._piece(p) for p in found])
+        direct = self.direct and "<|" not in s
+        first = _PIECE.match(s) if direct else None
+        if first and first.end() == len(s):
+            s = s.lower()
+            ids = self.pieces.get(s) or self._piece(s)
+        elif first and sum(map(len, found := _PIECE.findall(s))) == len(s):  # a word with signs: the word alone may be known
+            ids = b"".join([self.pieces.get(p) or self.get(p.encode()) or self._piece(p) for p in map(str.lower, found)])
         else:
             ids = self._ids(self.tokenizer.encode(s, add_special_tokens=False).ids)
         if len(self) < MEMO_CHUNKS:
