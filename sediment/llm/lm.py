@@ -3,9 +3,9 @@
 Model
 -----
 A text is its tokens, words and one end, and the attention model reads the subword id that
-begins each. In windows of ``WINDOW`` tokens one head attends to the positions up to each
-one, and a softmax over ``CLASSES`` classes of ids predicts the class of the id that begins
-the next token. Given that class k, a word's probability is
+begins each, or with ``inside`` every id of the text. In windows of ``WINDOW`` positions one head attends to the positions up to each
+one, and a softmax over ``CLASSES`` classes of ids predicts the class of the next position's
+id. Given the class k of its first id, a word's probability is
 
     (1 - new_k) * c / C_k  +  new_k * p(its ids)
 
@@ -17,6 +17,12 @@ its training tokens that are the only one of their word, and the counts that spe
 are those of such words. So every factor is normalised, the context acts on known and new
 words alike, and the same formula holds for every word at every size.
 
+With ``inside``, a further id x after a is spelled by the attention model as well: its chance is
+
+    (times of x after a + WEIGHT * p(its class | context) * its share of the class) / (times of a + WEIGHT)
+
+so all that the window holds, ids inside words included, speaks for or against it.
+
 Windows overlap: one starts every ``STRIDE`` positions, and beyond a text's first
 window only its last ``STRIDE`` positions are scored, so that each token is scored
 once, with at least WINDOW - STRIDE positions before it.
@@ -24,8 +30,8 @@ once, with at least WINDOW - STRIDE positions before it.
 Training
 --------
 All counts cover all training documents. The counting pass also leaves each text as the ids
-that begin its words, from which training reads it. Ids are clustered to classes by their company: how
-often hashed marks of the ids that begin the next and the second next tokens, on either
+that begin its words, or all its ids, from which training reads it. Ids are clustered to classes by their company: how
+often hashed marks of the ids at the next and the second next positions, on either
 side, occur beside an id in all training text. The commonest ids have a class each. Words
 are spelled by what follows an id: the ids that go on words most have a bucket each, the
 others share hashed ones. First weights come from a bounded sample of texts, in numpy on the
@@ -37,7 +43,7 @@ the rows alone, so results don't depend on how the input is partitioned.
 
 Scoring
 -------
-All but the class's probability is fixed for a word, so a worker works it out once for each
+All but the classes' probabilities is fixed for a word, so a worker works it out once for each
 word that it meets. The commonest words, at most HOT, are broadcast with their counts.
 Other words leave the scoring task as rows and meet their counts in a join. What is
 broadcast besides is bounded by the vocabulary: classes, shares, and FOLLOW counts an id.
@@ -145,6 +151,38 @@ class _Met(dict):
         self[word] = at = len(self.begins) - 1
         return at
 
+    def ids(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by number, one after another, and how many each has."""
+        return np.array(self.begins, np.int64)[x], np.ones(len(x), np.int64)
+
+
+class _MetWhole(dict):
+    """word -> its number; all ids of words by number."""
+
+    def __init__(self, firsts: Firsts, end: int):
+        self.firsts, self.new, self.count = firsts, [], 1
+        self.x, self.start, self.n = np.array([end]), np.array([0]), np.array([1])  # number 0 is the end of a text
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = at = self.count
+        self.count += 1
+        return at
+
+    def ids(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by number, one after another, and how many each has."""
+        if self.new:
+            more, n = laid_out(self.firsts.enc, self.new, self.firsts.none)
+            self.start = np.concatenate([self.start, np.cumsum(n) - n + len(self.x)])
+            self.x, self.n, self.new = np.concatenate([self.x, more]), np.concatenate([self.n, n]), []
+        n = self.n[x]
+        return self.x[ranges(self.start[x], n)], n
+
+
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n whole numbers from each start on, one range after another."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
 
 def line_type(size: int) -> np.dtype:
     """What holds the ids of a vocabulary of a size in lines."""
@@ -155,16 +193,18 @@ def row_hash() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), text_bytes())
 
 
-def gather(docs: DataFrame, tokenizer: str) -> DataFrame:
+def gather(docs: DataFrame, tokenizer: str, inside: bool = False) -> DataFrame:
     """(kind, key, n, h, line) of training texts: 0 words and counts; 1 an empty key and the number of texts; 2 cells of company; 3 texts.
 
-    A cell is id * MARKS + the mark of an id in its company. A text is its hash and line, the ids that begin its words
-    as ``line_type`` has them: later steps needn't tokenize it again, and its column is read by them alone.
+    A cell is id * MARKS + the mark of an id in its company. A text is its hash and line, the ids that begin its words,
+    or ``inside`` them too, as ``line_type`` has them: later steps needn't tokenize it again, and its column is read by them alone.
     """
+    kind_of_met = _MetWhole if inside else _Met
+
     def run(batches):
         firsts = firsts_of(tokenizer)
         size, end, _ = vocabulary(firsts.enc)
-        met, texts, total = _Met(firsts, end), 0, np.zeros(1, np.int64)
+        met, texts, total = kind_of_met(firsts, end), 0, np.zeros(1, np.int64)
         near, held, hashes, n = np.zeros(size * MARKS, np.int64), [], [], 0
         kinds = {"kind": pa.int32(), "key": pa.binary(), "n": pa.int64(), "h": pa.int64(), "line": pa.binary()}
 
@@ -175,17 +215,18 @@ def gather(docs: DataFrame, tokenizer: str) -> DataFrame:
         def count():
             nonlocal total, held, hashes, n
             if held:
-                lengths = [len(x) for x in held[::2]]
-                x = np.concatenate(held)
-                more = np.bincount(x, minlength=len(met.begins))
+                lengths = np.array([len(x) for x in held[::2]])
+                x = np.concatenate([np.zeros(COMPANY, np.int64), *held])
+                more = np.bincount(x, minlength=len(met) + 1)
                 more[:len(total)] += total
                 total = more
-                ids = np.array(met.begins, np.int64)[np.concatenate([[0], x])]
+                ids, per_word = met.ids(x)
                 m = mark_of(ids)
                 for gap in range(1, COMPANY + 1):
                     near[:] += np.bincount(np.concatenate([ids[:-gap] * MARKS + m[gap:], ids[gap:] * MARKS + m[:-gap]]), minlength=len(near))
-                ids, at = ids.astype(line_type(size)), np.cumsum(lengths) + COMPANY * np.arange(len(lengths)) + 1
-                yield rows(3, h=hashes, line=[ids[b - k:b].tobytes() for k, b in zip(lengths, at.tolist())])
+                stop, edge = np.cumsum(lengths + COMPANY), np.append(0, np.cumsum(per_word))
+                ids = ids.astype(line_type(size))
+                yield rows(3, h=hashes, line=[ids[a:b].tobytes() for a, b in zip(edge[stop - lengths].tolist(), edge[stop].tolist())])
                 held, hashes, n = [], [], 0
 
         for b in batches:
@@ -199,7 +240,7 @@ def gather(docs: DataFrame, tokenizer: str) -> DataFrame:
                     yield from count()
                     if len(met) > MEMO:
                         yield rows(0, key=list(met), n=total[1:])
-                        met, total = _Met(firsts, end), np.zeros(1, np.int64)
+                        met, total = kind_of_met(firsts, end), np.zeros(1, np.int64)
         yield from count()
         yield rows(0, key=list(met), n=total[1:])
         yield rows(1, key=[b""], n=[texts])
@@ -524,6 +565,7 @@ class Scorer:
         order = np.argsort(after[0])
         self.cells, self.times = np.append(after[0][order], 1 << 62), np.append(after[1][order], 0).astype(np.float64)
         self.mass = np.bincount(self.cells[:-1] // FOLLOW, self.times[:-1], size)
+        self.share = further / np.bincount(classes, further, CLASSES)[classes]
         mass = np.bincount(classes, firsts, CLASSES)
         new = (np.bincount(classes, first, CLASSES) + 0.5) / (mass + 1)
         new[classes[end]] = 1e-6 if firsts[end] else 1 - 1e-9
@@ -533,16 +575,33 @@ class Scorer:
     def words(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log10 of p / c as a known word, log10 of p as a new one), given its class, of words of n ids each."""
         first = np.cumsum(n) - n
-        before, to = np.append(self.end, x[:-1]), self.follow[x]
-        cell = before * FOLLOW + to
-        spot = np.searchsorted(self.cells, cell)
-        times = np.where(self.cells[spot] == cell, self.times[spot], 0.0)
+        before, to, times = self._after(x)
         p = np.log((times + WEIGHT * self.bucket[to]) / (self.mass[before] + WEIGHT) * self.within[x]) + self.on[before]
         p[first] = self.begin[x[first]]
         p[first + n - 1] += self.over[x[first + n - 1]]
         k = self.classes[x[first]]
         return self.known[k] / math.log(10), (np.add.reduceat(p, first) + self.new[k]) / math.log(10)
 
+    def _after(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id before each, its own bucket, and how often that one follows this."""
+        before, to = np.append(self.end, x[:-1]), self.follow[x]
+        cell = before * FOLLOW + to
+        spot = np.searchsorted(self.cells, cell)
+        return before, to, np.where(self.cells[spot] == cell, self.times[spot], 0.0)
+
+    def parts(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of words of n ids each, log10 of p / c as a known word, given its class; and (fixed, t, s) of each id.
+
+        Given the class of its first id, a new word's p is the product of exp(fixed) * (t + s * the id's class's probability in context).
+        """
+        first = np.cumsum(n) - n
+        before, _, times = self._after(x)
+        fixed, t, s = self.on[before] - np.log(self.mass[before] + WEIGHT), times * self.within[x], WEIGHT * self.share[x]
+        k = self.classes[x[first]]
+        fixed[first], t[first], s[first] = self.begin[x[first]] + self.new[k], 1.0, 0.0
+        fixed[first + n - 1] += self.over[x[first + n - 1]]
+        return self.known[k] / math.log(10), fixed, t, s
+
     def class_logs(self, lines: np.ndarray, lengths: np.ndarray, need: np.ndarray | None = None) -> np.ndarray:
         """Natural log of each next id's class, where it is needed; lines are texts' ids one after another, each led and closed by the end id.
 
@@ -630,6 +689,40 @@ class Memo(dict):
         self.new = []
 
 
+class WholeMemo(Memo):
+    """``Memo`` where the ids inside words are positions too: what they take is kept an id, and words are ranges of ids."""
+
+    def clear(self) -> None:
+        dict.clear(self)
+        self.new, self.count = [], 1
+        # number 0 is the end token
+        self.x, self.start, self.n, self.c = np.array([self.scorer.end]), np.array([0]), np.array([1]), np.array([self.ends])
+        self.fame, self.fixed, self.t, self.s = self.scorer.parts(self.x, self.n)
+
+    def settle(self) -> None:
+        if not self.new:
+            return
+        x, n = laid_out(self.enc, self.new, self.none)
+        more = dict(zip(("fame", "fixed", "t", "s"), self.scorer.parts(x, n)), x=x, n=n, start=np.cumsum(n) - n + len(self.x))
+        more["c"] = np.fromiter((self.known.get(w, -1) for w in self.new), np.int64, len(n))
+        for k, v in more.items():
+            setattr(self, k, np.concatenate([getattr(self, k), v]))
+        self.new = []
+
+
+def in_context(scorer: Scorer, memo: Memo, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log10 of the class, of p as a new word, of c * known + new) of each token; x are texts' tokens by number, each text closed by the end's."""
+    if not isinstance(memo, WholeMemo):
+        logs = scorer.class_logs(np.insert(memo.first[x], starts, scorer.end), np.diff(np.append(starts, len(x))) + 1) / math.log(10)
+        return logs, memo.fresh[x], memo.mix[x]
+    n = memo.n[x]
+    first, at = np.cumsum(n) - n, ranges(memo.start[x], n)
+    begin = first[starts]
+    logs = scorer.class_logs(np.insert(memo.x[at], begin, scorer.end), np.diff(np.append(begin, len(at))) + 1)
+    fresh = np.add.reduceat(memo.fixed[at] + np.log(memo.t[at] + memo.s[at] * np.exp(logs)), first) / math.log(10)
+    return logs[first] / math.log(10), fresh, mixed(memo.fame[x], fresh, np.maximum(memo.c[x], 0))
+
+
 def commonest(rows: DataFrame, count: str, most: int) -> Column:
     """A condition that holds for the rows of greatest count, at most ``most`` of them."""
     # counts by sixteenths of a power of two: at most 1024 rows, whatever the corpus
@@ -642,15 +735,16 @@ def commonest(rows: DataFrame, count: str, most: int) -> Column:
     return size_of >= least
 
 
-def score(docs: DataFrame, training: Column, tokenizer: str) -> DataFrame:
+def score(docs: DataFrame, training: Column, tokenizer: str, inside: bool = False) -> DataFrame:
     """(doc_id, trained, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    ``training`` says, of a row's columns, whether the model learns from it.
+    ``training`` says, of a row's columns, whether the model learns from it; ``inside``,
+    whether the attention model reads and predicts the ids inside words too.
     """
     spark = docs.sparkSession
     enc = encoder(tokenizer)
     size, end, _ = vocabulary(enc)
-    gathered = stage(gather(docs.where(training), tokenizer), "lm-gathered")
+    gathered = stage(gather(docs.where(training), tokenizer, inside), "lm-gathered")
     documents = gathered.where("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     counts = stage(gathered.where("kind = 0").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c")), "lm-counts")
     total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
@@ -661,18 +755,22 @@ def score(docs: DataFrame, training: Column, tokenizer: str) -> DataFrame:
     cells = gathered.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary times MARKS
     near = np.zeros(size * MARKS, np.int64)
     near[np.frombuffer(b"".join(cells["key"].to_pylist()), "<u4")] = cells["n"].to_numpy()
+    near.reshape(size, MARKS)[end] = 0  # how many ends meet between texts depends on partitions, and the end has its own class
     group = clusters(near.reshape(size, MARKS), GROUPS)
+    occurs = near.reshape(size, MARKS).sum(1) // (2 * COMPANY)  # each place has as many in its company
     del cells, near
     spells = stage(spelling(counts, tokenizer), "lm-spelling")
     firsts, spelled = np.split(vector(spells.where("kind = 0"), 4 * size), [size])
     firsts[end] = documents
-    classes = classify(firsts, group, end)
+    occurs = occurs if inside else firsts.copy()
+    occurs[end] = documents
+    classes = classify(occurs, group, end)
     bucket_of = F.broadcast(spark.createDataFrame([(i, int(k)) for i, k in enumerate(buckets(spelled[size:2 * size]))], "id long, bucket long"))  # the vocabulary
     pairs = spells.where("kind = 1").withColumn("id", F.col("at") % size).join(bucket_of, "id")
     pairs = pairs.groupBy((F.expr(f"at div {size}") * FOLLOW + F.col("bucket")).alias("cell")).agg(F.sum("n").cast("int").alias("n")).toArrow()  # at most FOLLOW an id
     after = pairs["cell"].to_numpy(), pairs["n"].to_numpy()
 
-    w = first_weights((np.bincount(classes, firsts, CLASSES) + 1.0) / (firsts.sum() + CLASSES))
+    w = first_weights((np.bincount(classes, occurs, CLASSES) + 1.0) / (occurs.sum() + CLASSES))
     if documents:
         lines = gathered.where("kind = 3").select("h", "line")
         some = lines.where(F.col("h") <= min((1 << 63) - 1, int(SAMPLE / documents * (1 << 64)) - (1 << 63)))
@@ -686,7 +784,7 @@ def score(docs: DataFrame, training: Column, tokenizer: str) -> DataFrame:
 
     def run(batches):
         scorer, known = model.value
-        memo = Memo(encoder(tokenizer), scorer, known, documents)
+        memo = (WholeMemo if inside else Memo)(encoder(tokenizer), scorer, known, documents)
         for b in batches:
             rows, texts, i = b.num_rows, b.column(2), 0
             while i < rows:
@@ -703,10 +801,10 @@ def score(docs: DataFrame, training: Column, tokenizer: str) -> DataFrame:
                 x = np.concatenate(held).astype(np.int64)
                 per_text = np.array([len(k) + 1 for k in words])
                 starts = np.cumsum(per_text) - per_text
-                logs = scorer.class_logs(np.insert(memo.first[x], starts, scorer.end), per_text + 1) / math.log(10)
+                logs, fresh, mix = in_context(scorer, memo, x, starts)
                 c = memo.c[x]
                 rare, cc = c < 0, np.maximum(c, 0)
-                mix, base = logs + memo.mix[x], np.log10((cc + 1) / room)
+                mix, base = logs + mix, np.log10((cc + 1) / room)
                 mix[rare] = base[rare] = 0
                 yield pa.RecordBatch.from_pydict({
                     "at": b.column(0).slice(i, j - i), "doc_id": b.column(1).slice(i, j - i), "trained": b.column(3).slice(i, j - i), "word": pa.nulls(j - i, pa.binary()), "fame": pa.nulls(j - i, pa.float64()), "fresh": pa.nulls(j - i, pa.float64()),
@@ -719,7 +817,7 @@ def score(docs: DataFrame, training: Column, tokenizer: str) -> DataFrame:
                     k = len(left)
                     yield pa.RecordBatch.from_pydict({
                         "at": pa.array(at_of[whose]), "doc_id": pa.nulls(k, pa.int64()), "trained": pa.nulls(k, pa.bool_()), "word": pa.array([words[t][p] for t, p in zip(whose.tolist(), place)], pa.binary()),
-                        "fame": pa.array(logs[left] + memo.fame[x[left]]), "fresh": pa.array(logs[left] + memo.fresh[x[left]]),
+                        "fame": pa.array(logs[left] + memo.fame[x[left]]), "fresh": pa.array(logs[left] + fresh[left]),
                         "n_tokens": pa.nulls(k, pa.int64()), "n_known": pa.nulls(k, pa.int64()), "base": pa.nulls(k, pa.float64()), "mix": pa.nulls(k, pa.float64())})
                 i = j
 

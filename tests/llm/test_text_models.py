@@ -426,6 +426,100 @@ def test_scores_do_not_depend_on_partitions_or_on_what_is_broadcast(spark, odd,
     assert np.allclose(*got, rtol=1e-6)
 
 
+def test_op2_reads_and_predicts_every_id(spark, odd, tmp_path, monkeypatch):
+    """The query against a plain version in which each id of a text is a position of the attention model."""
+    from collections import Counter
+    made = []
+
+    class Kept(lm.Scorer):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(args)
+
+    odd.select("doc_id", "text", "lang", "source").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm, "Scorer", Kept)
+        m.setattr(lm, "HOT", 3)
+        m.setattr(Kept, "__reduce__", lambda self: (lm_scorer, made[-1]))
+        got = QUERIES["op2_lm"](spark, str(tmp_path)).toPandas()
+    classes, end, _, spelled, _, (cells, times) = made[-1][1:]
+    s, size, enc = lm_scorer(*made[-1]), len(classes), lm.encoder(TOKENIZER)
+    learns = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 != 2
+    texts = [(r[0], (r[1] or "").encode().lower().split()) for r in ROWS]
+    c = Counter(x for i, t in texts if learns(i) for x in t)
+    ends = sum(learns(i) for i, _ in texts)
+    more = spelled.reshape(3, size)[1] + 0.02
+    follow, after, mass = lm.buckets(more - 0.02), dict(zip(cells.tolist(), times.tolist())), Counter()
+    of_bucket, of_class = np.bincount(follow, more), np.bincount(classes, more)
+    for cell, n in after.items():
+        mass[cell // lm.FOLLOW] += n
+    want = []
+    for i, t in texts:
+        ids = [np.frombuffer(enc[x], enc.dtype).astype(int).tolist() or [end + 1] for x in t] + [[end]]
+        logs = iter(plain_logs(s, np.array([end, *(y for x in ids for y in x)])))
+        total = 0.0
+        for x, n in zip(ids, [*[c[x] for x in t], ends]):
+            log, k = next(logs), classes[x[0]]
+            p = s.begin[x[0]] + s.new[k] + s.over[x[-1]]
+            for a, b in zip(x, x[1:]):
+                seen = after.get(a * lm.FOLLOW + follow[b], 0) * more[b] / of_bucket[follow[b]]
+                p += s.on[a] + math.log((seen + lm.WEIGHT * math.exp(next(logs)) * more[b] / of_class[classes[b]]) / (mass[a] + lm.WEIGHT))
+            total += (log + (np.logaddexp(s.known[k] + math.log(n), p) if n else p)) / math.log(10)
+        assert next(logs, None) is None
+        want.append((-1 if i is None else i, total))
+    have = sorted(zip(got.doc_id.fillna(-1).astype(int), got.score))
+    for (i, x), (j, y) in zip(have, sorted(want)):
+        assert i == j and math.isclose(x, y, rel_tol=1e-4), (i, x, y)
+
+
+def test_training_reads_all_ids_of_all_texts(spark):
+    texts = ["the unheard-of antidisestablishmentarianism " * 90 + "zyxwv", "", "a dog's end"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    enc = lm.encoder(TOKENIZER)
+    end = lm.vocabulary(enc)[1]
+    rows = lm.gather(df, TOKENIZER, inside=True).collect()
+    lines = sorted(np.frombuffer(r["line"], lm.line_type(end + 2)).tolist() for r in rows if r["kind"] == 3)
+    assert lines == sorted(np.frombuffer(enc.encode(t.encode()), enc.dtype).tolist() for t in texts)
+    near = np.zeros(end + 2, np.int64)
+    for r in rows:
+        if r["kind"] == 2:
+            near[int.from_bytes(bytes(r["key"]), "little") // lm.MARKS] += r["n"]
+    near[end] = 0
+    assert (near == 2 * lm.COMPANY * np.bincount(np.concatenate(lines).astype(int), minlength=end + 2)).all()
+
+
+def test_ids_inside_words_are_a_distribution():
+    """Whatever the context says of classes, what may follow an id adds up to one."""
+    rng = np.random.default_rng(6)
+    size = 700
+    classes, firsts, first, more = rng.integers(0, 4, size), rng.integers(1, 20, size), rng.integers(0, 3, size), rng.integers(0, 3, size)
+    cells, times = np.unique(5 * lm.FOLLOW + lm.buckets(more)[rng.integers(0, size, 60)], return_counts=True)
+    s = plain_scorer(rng, size, classes, firsts, first, more, first, (cells, times))
+    _, fixed, t, part = s.parts(np.array([[5, j] for j in range(size)]).reshape(-1), np.full(size, 2))
+    context = rng.dirichlet(np.ones(4))
+    assert math.isclose((np.exp(fixed[1::2] - s.on[5] - s.over) * (t[1::2] + part[1::2] * context[classes])).sum(), 1, rel_tol=1e-6)
+
+
+def test_scores_of_every_id_do_not_depend_on_partitions_or_on_what_is_broadcast(spark, odd, small, monkeypatch):
+    from pyspark.sql import functions as F
+    docs = table(spark, small, "documents").where("n_chars < 1500").unionByName(odd.select("doc_id", "text", "lang", "source", F.lit(1).cast("long").alias("n_chars")))
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 10_000)
+    got = []
+    for parts, hot in ((1, lm.HOT), (7, 50)):
+        monkeypatch.setattr(lm, "HOT", hot)
+        p = lm.score(docs.repartition(parts), crc_mod("doc_id", 7) != 2, TOKENIZER, inside=True).toPandas()
+        got.append(p.sort_values(["doc_id", "n_tokens", "score"]).score.to_numpy())
+    assert np.allclose(*got, rtol=1e-6)
+
+
+@pytest.mark.parametrize("training", ["true", "false"])
+def test_every_id_of_odd_documents(spark, odd, empty, training):
+    from pyspark.sql import functions as F
+    got = lm.score(odd, F.expr(training), TOKENIZER, inside=True).toPandas()
+    assert len(got) == len(ROWS) and np.isfinite(got.score).all() and np.isfinite(got.base_score).all()
+    assert lm.score(empty, F.lit(True), TOKENIZER, inside=True).count() == 0
+
+
 @pytest.mark.parametrize("training", ["true", "false"])
 def test_lm_of_odd_documents(spark, odd, empty, training):
     from pyspark.sql import functions as F
