@@ -42,7 +42,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by five-word shingles alike to 0.8 or more."""
+    """One document of each group of near copies, by five-word shingles alike to 0.8 or more.
+
+    SimHash with vantage-point shards finds what is 2 bits apart, shared least shingles what is further; both are verified.
+    """
     return similar.deduplicated(docs, width=5, similarity=0.8)
 
 

@@ -1,9 +1,13 @@
 """Near copies by word shingles: SimHash finds candidates, exact Jaccard similarity links them.
 
+Candidates come from two searches. Fingerprints of 64 bits at most ``NEAR`` apart are found
+as ``simhash`` does: a top vantage-point tree as shard map, replicas for border zones, local
+trees, stars instead of pairs; no such pair is missed, whatever the texts.
+
 For texts of which a fifth may differ, fingerprints of 64 bits are up to 18 bits apart,
 and at that radius a vantage-point tree over all fingerprints can't rule any branch
-out: the border zone is wider than the spread of random distances. So here the shards
-that are searched come from the texts: each text has ``ANCHORS`` anchors, its least
+out: the border zone is wider than the spread of random distances. So for what is further
+apart the shards that are searched come from the texts: each text has ``ANCHORS`` anchors, its least
 shingles under as many hash orders, and two texts of similarity s share one with
 probability 1 - (1 - s) ** ANCHORS, 1 - 4e-9 at 0.8. Texts meet per anchor and class of
 size, which splits common anchors. There all pairs are compared by 256 bits of the same
@@ -35,9 +39,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from sediment.llm import simhash
 from sediment.llm.common import new_path, renamed, scratch, stage, text_bytes
 from sediment.llm.simhash import _Links, components, fingerprint, settle, shingle_hashes
 
+#: Bits of 64 by which fingerprints differ that the vantage-point trees link, as in ``simhash.near_duplicates``.
+NEAR = 2
 ANCHORS = 12
 #: Bits of 256 by which candidates may differ; the second where a text has at most SHORT shingles.
 WIDE_REACH, SHORT = (84, 96), 24
@@ -205,6 +212,23 @@ def candidates(met: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "fp long, to long").distinct()
 
 
+def near_prints(distinct: DataFrame) -> DataFrame:
+    """(fp, to): stars over the keys whose first 64 bits are linked within ``NEAR``, by the shards of a vantage-point tree."""
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(unpacked(b.column(1))[:, 0].view(np.int64))], ["key", "print"])
+
+    prints = stage(distinct.where("n > 0").select("key", "wide").mapInArrow(run, "key long, print long"), "similar-prints")
+    least = stage(prints.groupBy("print").agg(F.min("key").alias("least")), "similar-least")
+    same = prints.join(least, "print").where("key > least").select(F.col("key").alias("fp"), F.col("least").alias("to"))
+    count = least.count()
+    if not count:
+        return same
+    stars = stage(simhash.links(least.select(F.col("print").alias("fp")), count, NEAR, simhash.SHARD), "similar-stars")
+    ends = [least.select(F.col("print").alias(c), F.col("least").alias(f"{c}_key")) for c in ("fp", "to")]
+    return same.unionByName(stars.join(ends[0], "fp").join(ends[1], "to").select(F.col("fp_key").alias("fp"), F.col("to_key").alias("to")))
+
+
 def linked(sets: list[np.ndarray], similarity: float, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Stars over the texts of a block that exact similarity joins, from all its intersections at once."""
     m = len(sets)
@@ -309,7 +333,8 @@ def classes(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     rows = stage(sketches(docs, width), "similar-sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "n", "wide", "anchors")).alias("x")
     distinct = stage(rows.groupBy("key").agg(least).select("key", "x.doc_id", "x.mark", "x.n", "x.wide", "x.anchors"), "similar-distinct")
-    families = components(stage(candidates(met_by_place(distinct)), "similar-candidates"))
+    found = candidates(met_by_place(distinct)).unionByName(near_prints(distinct))
+    families = components(stage(found, "similar-candidates"))
     links = stage(verified(docs, families, distinct, width, similarity), "similar-links")
     labels = components(links)
     named = stage(distinct.join(labels.withColumnRenamed("fp", "key"), "key", "left").select("key", "doc_id", "mark", F.coalesce("label", "key").alias("label")), "similar-labels")

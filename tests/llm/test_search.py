@@ -215,6 +215,46 @@ def test_similar_classes_equal_brute_force(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def test_vantage_point_shards_link_all_close_prints(spark, monkeypatch):
+    """Made fingerprints over many shards; some are equal under different keys."""
+    monkeypatch.setattr(simhash, "SHARD", 60)
+    rng = np.random.default_rng(8)
+    w = rng.integers(0, 1 << 63, (600, 4), dtype=np.uint64)
+    for i in range(200, 500):
+        w[i, 0] = w[i - 200, 0]
+        for bit in rng.integers(0, 64, i % 4):
+            w[i, 0] ^= np.uint64(1) << np.uint64(bit)
+    apart = np.bitwise_count(w[:, None, 0] ^ w[None, :, 0])
+    want = joined(600, zip(*(x.tolist() for x in np.nonzero(apart <= 2))))
+    rows = [(i, 9, x.astype("<u8").tobytes()) for i, x in enumerate(w)]
+    stars = similar.near_prints(spark.createDataFrame([*rows, (600, 0, bytes(32))], "key long, n int, wide binary")).collect()
+    assert joined(600, [tuple(r) for r in stars]) == want and len(set(want)) < 450
+    assert similar.near_prints(spark.createDataFrame([], "key long, n int, wide binary")).count() == 0
+
+
+def test_near_copies_are_found_by_the_vantage_point_trees(spark, monkeypatch):
+    """Long texts whose fingerprints are close are joined even if they meet nowhere else."""
+    monkeypatch.setattr(simhash, "SHARD", 8)
+    monkeypatch.setattr(similar, "met_by_place", lambda distinct: similar.meetings(distinct).where("false"))
+    rng = np.random.default_rng(10)
+    texts = []
+    for _ in range(12):
+        base = [f"w{i}" for i in rng.integers(0, 5000, 2000)]
+        for edits in (0, 1, 1, 40):
+            t = list(base)
+            for p in rng.integers(0, len(t), edits):
+                t[p] = f"x{rng.integers(10 ** 6)}"
+            texts.append(" ".join(t))
+    sets = [similar.shingle_set(t.encode(), 5) for t in texts]
+    prints = [simhash.fingerprint(x) for x in sets]
+    close = [(a, b) for a in range(len(sets)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= similar.NEAR]
+    assert len(close) >= 10 and all(len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) for a, b in close)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in similar.classes(df).collect()}
+    want = joined(len(texts), close)
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_large_families_are_compared_whole(spark, monkeypatch):
     """A hub's near copies, a chain of edits, and texts that only share a passage, in one family."""
     monkeypatch.setattr(similar, "BLOCK", 16)
