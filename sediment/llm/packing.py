@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sediment.llm.common import stage, text_bytes
+from sediment.llm.common import stage, text_bytes, use
 from sediment.llm.tokens import encoder
 
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_000_000
@@ -39,6 +39,7 @@ def prepare(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     merges, so a high one is a rare term even before the frequencies are known.
     """
     def run(batches):
+        use("tokens")
         enc = encoder(tokenizer)
         size, dtype = enc.tokenizer.get_vocab_size(with_added_tokens=True), enc.dtype
         end, rarity = np.array([end_id], dtype).tobytes(), np.log1p(np.arange(size))

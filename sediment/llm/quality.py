@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sediment.llm.common import stage, text_bytes, with_text
+from sediment.llm.common import keeps, stage, text_bytes, use, with_text
 
 #: Buckets of each kind of feature.
 BUCKETS, KINDS = 1 << 16, 3
@@ -76,6 +76,14 @@ class Words(dict):
 _words = Words()
 
 
+def _forget() -> None:
+    global _words
+    _words = Words()
+
+
+keeps("quality", _forget)
+
+
 def text_features(text: bytes) -> np.ndarray:
     """Feature numbers of a text: cores in [0, BUCKETS), then pairs of cores, then pairs of shapes."""
     global _words
@@ -110,6 +118,7 @@ class Model:
 def raw_counts(docs: DataFrame) -> np.ndarray:
     """Feature counts of all documents: one vector a task, summed."""
     def run(batches):
+        use("quality")
         total = np.zeros(KINDS * BUCKETS, np.int64)
         held, n = [], 0
         for b in batches:
@@ -132,6 +141,7 @@ def raw_counts(docs: DataFrame) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Raw model over all documents, target model and threshold over the labelled sample."""
+    use("quality")
     raw = raw_counts(docs)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     picked = None
@@ -141,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).join(F.broadcast(picked), "doc_id").where(F.octet_length("text") <= SAMPLE_BYTES)
 
     def describe_all(batches):  # only feature numbers reach the driver
+        use("quality")
         for b in batches:
             t = b.column(0).to_pylist()
             yield pa.RecordBatch.from_pydict({"f": pa.array([np.asarray(text_features(x), "<i4").tobytes() for x in t], pa.binary()), "quality": b.column(1), "doc_id": b.column(2)})
@@ -193,6 +204,7 @@ def weigh(docs: DataFrame, model: Model, carry: list = ()) -> DataFrame:
     plan, kinds = with_text(docs, [F.col(c) if isinstance(c, str) else c for c in carry])
 
     def run(batches):
+        use("quality")
         m = at.value
         for b in batches:
             got = [m.weigh(t.as_py()) for t in b.column(b.num_columns - 1)]

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sediment.llm import simhash
-from sediment.llm.common import new_path, renamed, scratch, stage, text_bytes
+from sediment.llm.common import new_path, renamed, scratch, stage, text_bytes, use
 from sediment.llm.simhash import _Links, components, fingerprint, settle, shingle_hashes
 
 #: Bits of 64 by which fingerprints differ that the vantage-point trees link, as in ``simhash.near_duplicates``.
@@ -122,6 +122,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         from xxhash import xxh3_64_intdigest
 
+        use("similar")
         for b in batches:
             key, n, fp, spots = [], [], [], []
             for t in b.column(2):

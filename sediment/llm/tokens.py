@@ -14,11 +14,14 @@ from array import array
 
 import numpy as np
 
+from sediment.llm.common import keeps
+
 #: Chunks that a worker keeps; beyond it new chunks are encoded anew each time.
 MEMO_CHUNKS = 500_000
 # Latin letters whose lower case and composition don't depend on their neighbours.
 _PIECE = re.compile("[a-zA-ZÀ-ÖØ-öø-įĲ-ňŊ-ɏ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
 _encoders: dict = {}
+keeps("tokens", _encoders.clear)
 
 
 def _byte_letters() -> dict[int, str]:

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from sediment.llm import packing, token_store
+from sediment.llm import common, packing, quality, token_store, tokens, toxicity
 from sediment.llm.catalogue import QUERIES, TOKENIZER
 from sediment.llm.common import new_path
 from sediment.llm.tokens import Encoder
@@ -37,6 +37,20 @@ def test_encoder_equals_library(text):
 test_encoder_equals_library.e = Encoder(TOKENIZER)
 
 
+def test_a_task_drops_what_other_operators_left():
+    common.use("nothing")
+    quality.text_features(b"two words")
+    toxicity.indices([b"two words"])
+    tokens.encoder(TOKENIZER).encode(b"two words")
+    assert quality._words and toxicity._words and tokens._encoders
+    common.use("toxicity")
+    assert toxicity._words and not quality._words and not tokens._encoders
+    common.use("toxicity")
+    assert toxicity._words
+    common.use("quality")
+    assert not toxicity._words
+
+
 def test_store_of_odd_documents(spark, odd):
     path = new_path(spark, "store")
     token_store.write_store(odd, path, TOKENIZER, block_tokens=500)
