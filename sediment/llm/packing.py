@@ -45,7 +45,7 @@ def prepare(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         end, rarity = np.array([end_id], dtype).tobytes(), np.log1p(np.arange(size))
         total, n, held = np.zeros(size + 2, np.int64), 0, 0
         for b in batches:
-            ids = [enc.encode(t.as_py()) + end for t in b.column(1)]
+            ids = [x + end for x in enc.encode_all(b.column(1).to_pylist())]
             keys = np.zeros((len(ids), 2), np.int32)
             for row, x in zip(keys, ids):
                 t, c = np.unique(np.frombuffer(x, dtype), return_counts=True)

@@ -2,8 +2,9 @@
 
 The vocabulary's pre-tokenizer never joins text across white space, so a text's ids
 are its white-space chunks' ids in order. A worker keeps the ids of chunks that it has
-met. A new chunk of Latin letters, digits and ASCII signs goes straight to the
-library's BPE model; any other goes through the library's whole pipeline.
+met. New chunks of Latin letters, digits and ASCII signs are merged many at a time by
+the model's own merges, in numpy (``learn``); one that comes alone goes straight to the
+library's BPE model, and any other chunk through the library's whole pipeline.
 """
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ import os
 import re
 import sys
 from array import array
+from itertools import compress, filterfalse
 
 import numpy as np
 
@@ -20,6 +22,12 @@ from sediment.llm.common import keeps
 MEMO_CHUNKS = 500_000
 # Latin letters whose lower case and composition don't depend on their neighbours.
 _PIECE = re.compile("[a-zA-ZÀ-ÖØ-öø-įĲ-ňŊ-ɏ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
+_PLAIN = re.compile("[!-&(-~À-ÖØ-öø-įĲ-ňŊ-ɏ]{1,64}")
+#: New chunks that are merged together, at most and at least; longer ones than the pattern's are the library's.
+TOGETHER, LEAST = 1 << 16, 1 << 12
+#: Bytes of texts whose new chunks are looked for together.
+GROUP_BYTES = 8_000_000
+NEVER = 1 << 30
 _encoders: dict = {}
 keeps("tokens", _encoders.clear)
 
@@ -31,6 +39,71 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Merges:
+    """The model's merges over many pieces at once: in each round every piece merges its pair of least rank, the first of equals."""
+
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
+        letters = _byte_letters()
+        self.first, self.last = (np.array([vocab[letters[b] + end] for b in range(256)]) for end in ("", suffix))
+        self.size = max(vocab.values()) + 1
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = np.append(keys[order], 1 << 62), np.append(order, NEVER)
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("a pair has two ranks")
+        every = np.concatenate([self.first, self.last])
+        self.begin = self.rank(np.repeat(self.first, 512), np.tile(every, 256)).reshape(256, 512)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * self.size + b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER)
+
+    def ids(self, raw: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each piece has) of pieces of bytes; a piece's ids lie from its start on, the places behind them are free."""
+        out, n = np.empty(len(raw), np.int64), np.ones(len(sizes), np.int64)
+        for length in np.unique(sizes).tolist():
+            some = np.flatnonzero(sizes == length)
+            x = raw[start[some, None] + np.arange(length)].astype(np.int64)
+            follow = x[:, 1:].copy()
+            follow[:, -1:] += 256
+            rank = self.begin[x[:, :-1], follow]
+            x = np.concatenate([self.first[x[:, :-1]], self.last[x[:, -1:]]], axis=1)
+            while True:  # all rows that are left have merged as often, so they are as long
+                width = x.shape[1]
+                at = rank.argmin(1) if width > 1 else np.zeros(len(x), np.int64)
+                every = np.arange(len(x))
+                least = rank[every, at] if width > 1 else np.full(len(x), NEVER)
+                done = least == NEVER
+                if done.any():
+                    out[start[some[done], None] + np.arange(width)] = x[done]
+                    n[some[done]] = width
+                    go = ~done
+                    some, x, rank, at, least = some[go], x[go], rank[go], at[go], least[go]
+                    if not len(some):
+                        break
+                    every = np.arange(len(x))
+                x[every, at] = self.made[least]
+                keep = np.ones(x.shape, bool)
+                keep[every, at + 1] = False
+                x = x[keep].reshape(len(x), -1)
+                keep = np.ones(rank.shape, bool)
+                keep[every, at] = False
+                rank = rank[keep].reshape(len(x), -1)
+                i = np.flatnonzero(at > 0)
+                rank[i, at[i] - 1] = self.rank(x[i, at[i] - 1], x[i, at[i]])
+                i = np.flatnonzero(at < x.shape[1] - 1)
+                rank[i, at[i]] = self.rank(x[i, at[i]], x[i, at[i] + 1])
+        return out, n
+
+
+#: The kind of a byte in a plain chunk: 0 between chunks, 1 letters, 2 digits, 3 signs.
+_KIND = np.full(256, 3, np.int8)
+_KIND[[*range(0x61, 0x7B), *range(0x80, 0x100)]], _KIND[0x30:0x3A], _KIND[0x0A] = 1, 2, 0
+
+
 class Encoder(dict):
     """chunk -> little-endian ids; a missing chunk is encoded on first use."""
 
@@ -51,6 +124,10 @@ class Encoder(dict):
         self.direct = kinds == ["NFC", "Replace", "Lowercase"] and split == ["Split", "ByteLevel"]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.pieces: dict[str, bytes] = {}
+        self.more: dict[bytes, bytes] = {}  # of the texts in hand, chunks beyond MEMO_CHUNKS
+        model = spec["model"]
+        usual = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges", "unk_token"))
+        self.merges = Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "") if self.direct and usual else None
 
     def _ids(self, ids: list[int]) -> bytes:
         got = array(self.dtype.char, ids)
@@ -64,7 +141,63 @@ class Encoder(dict):
             self.pieces[p] = got
         return got
 
+    def learn(self, chunks: list[bytes]) -> None:
+        """Encodes those of the distinct new chunks that are plain, ``TOGETHER`` at a time; ``more`` holds what there is no room for."""
+        self.more = {}
+        if self.merges is None or len(chunks) < LEAST:  # few cost less one at a time
+            return
+        for i in range(0, len(chunks), TOGETHER):
+            new = chunks[i:i + TOGETHER]
+            s = b"\n".join(new).decode("utf-8", "replace")
+            plain = list(map(_PLAIN.fullmatch, s.split("\n")))
+            if "<|" in s:
+                plain = [m if m and "<|" not in m[0] else None for m in plain]
+            new = list(compress(new, plain))
+            if new:
+                low = s.lower().encode() if len(new) == len(plain) else "\n".join([m[0] for m in plain if m]).lower().encode()
+                self._together(new, low + b"\n")
+
+    def _together(self, new: list[bytes], low: bytes) -> None:
+        raw = np.frombuffer(low, np.uint8)
+        kind = _KIND[raw]
+        begins = (kind != np.append(0, kind[:-1])) | (kind == 2)
+        ends = np.flatnonzero(kind == 0)
+        begins &= kind > 0
+        start = np.flatnonzero(begins)
+        edge = np.sort(np.concatenate([start, ends]))  # where pieces begin or chunks end
+        sizes = edge[np.searchsorted(edge, start) + 1] - start
+        x, n = self.merges.ids(raw, start, sizes)
+        held = np.zeros(len(raw) + 1, np.int64)  # an id's place is taken if it is before its piece's end
+        held[start] += 1
+        held[start + n] -= 1
+        taken = np.cumsum(held[:-1]) > 0
+        until = np.cumsum(taken)[ends] * self.dtype.itemsize
+        data = x[taken].astype(self.dtype).tobytes()
+        ids = [data[a:b] for a, b in zip([0, *until[:-1].tolist()], until.tolist())]
+        room = max(0, MEMO_CHUNKS - len(self))
+        self.update(zip(new[:room], ids))
+        self.more.update(zip(new[room:], ids[room:]))
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """``encode`` of every text; the chunks that are new in them are merged together."""
+        out, i = [], 0
+        while i < len(texts):
+            new, size, j = set(), 0, i
+            while j < len(texts) and (j == i or size + len(texts[j]) < GROUP_BYTES):
+                t = texts[j]
+                new.update(filterfalse(self.__contains__, set((t.lower() if t.isascii() and b"<|" not in t else t).split())))
+                size += len(t)
+                j += 1
+            self.learn(list(new))
+            out += map(self.encode, texts[i:j])  # words are split again: held, they would be most of the memory
+            i = j
+        self.more = {}
+        return out
+
     def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.more.get(chunk)
+        if ids is not None:
+            return ids
         s = chunk.decode("utf-8", "replace")
         direct = self.direct and "<|" not in s
         first = _PIECE.match(s) if direct else None

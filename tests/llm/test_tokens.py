@@ -37,6 +37,26 @@ def test_encoder_equals_library(text):
 test_encoder_equals_library.e = Encoder(TOKENIZER)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("abeZÀéŊ0129.,'<|- "), st.characters(max_codepoint=0x24F), st.characters(exclude_categories=["Cs"])), max_size=90), max_size=12), st.integers(0, 5))
+def test_merging_together_equals_library(texts, room):
+    e, old = Encoder(TOKENIZER) if room else test_encoder_equals_library.e, (tokens.MEMO_CHUNKS, tokens.TOGETHER, tokens.LEAST, tokens.GROUP_BYTES)
+    try:
+        tokens.MEMO_CHUNKS, tokens.TOGETHER, tokens.LEAST, tokens.GROUP_BYTES = room if room else old[0], 7, 1, 300
+        got = e.encode_all([t.encode() for t in texts])
+    finally:
+        tokens.MEMO_CHUNKS, tokens.TOGETHER, tokens.LEAST, tokens.GROUP_BYTES = old
+    assert [np.frombuffer(x, e.dtype).tolist() for x in got] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not e.more
+
+
+def test_new_words_do_not_reach_the_library_one_by_one(monkeypatch):
+    e = Encoder(TOKENIZER)
+    monkeypatch.setattr(tokens, "LEAST", 1)
+    monkeypatch.setattr(Encoder, "_piece", None)
+    assert e.encode_all([b"Plain wrds, qqzx9", "éàzü".encode()])[0]
+
+
 def test_a_task_drops_what_other_operators_left():
     common.use("nothing")
     quality.text_features(b"two words")
