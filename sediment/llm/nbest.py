@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import gc
 import re
+import sys
 from array import array
 from bisect import insort
 from collections.abc import Iterator
@@ -75,6 +76,13 @@ class Pieces(dict):
         self.begun: dict[str, tuple] = {s[:k]: () for s in self.piece for k in range(1, len(s))}
         self.piece_ids = {s: (score, (i,)) for s, (score, i) in self.piece.items()}
         self.begun.update(self.piece_ids)
+        # the same as a tree: character -> (what may follow, score, ids or None)
+        self.tree: dict[str, tuple] = {}
+        for s in sorted(self.begun):  # a beginning comes before what goes on from it
+            node = self.tree
+            for c in s[:-1]:
+                node = node[c][0]
+            node[s[-1]] = ({}, *(self.begun[s] or (0.0, None)))
         self.cut, self.cut_numbers = self._borders(), self._borders("".join(sorted(NUMBERS)))
 
     def _borders(self, numbers: str = ""):
@@ -119,22 +127,25 @@ class Pieces(dict):
         """
         if len(s) > LONG:
             return self._back(len(s), self._prefixes(s), lambda j: self._into(s, j))
-        end, longest, begun = len(s), self.longest, self.begun
+        end, tree = len(s), self.tree
         best = [NEVER] * (end + 1)
         best[0] = 0.0
         into: list[list] = [[] for _ in range(end + 1)]
         for i in range(end):
-            b, single = best[i], False
-            for j in range(i + 1, min(end, i + longest) + 1):
-                got = begun.get(s[i:j])
+            b, node = best[i], tree
+            for j in range(i, end):
+                got = node.get(s[j])
                 if got is None:
                     break
-                if got:
-                    single = single or j == i + 1
-                    into[j].append((i, got[0], got[1]))
-                    if b + got[0] > best[j]:
-                        best[j] = b + got[0]
-            if not single:
+                node, score, ids = got
+                if ids is not None:
+                    j += 1
+                    into[j].append((i, score, ids))
+                    score += b
+                    if score > best[j]:
+                        best[j] = score
+            got = tree.get(s[i])
+            if got is None or got[2] is None:
                 j, ids = i + 1, tuple([self.byte_id[x] for x in s[i].encode("utf-8", "replace")])
                 into[j].append((i, self.unknown, ids))
                 if b + self.unknown > best[j]:
@@ -183,22 +194,32 @@ class Pieces(dict):
                     break
                 del agenda[want:]
                 continue
+            room, worst = want - len(agenda), agenda[-1][0] if agenda else 0.0
             for i, score, ids in into(at):
                 g = score + done
                 f = -(best[i] + g)
-                if len(agenda) < want:
+                if room:
+                    room -= 1
                     insort(agenda, (f, tick, i, g, (ids, path)))
-                elif f < agenda[-1][0]:
+                    worst = agenda[-1][0]
+                elif f < worst:
                     agenda.pop()
                     insort(agenda, (f, tick, i, g, (ids, path)))
+                    worst = agenda[-1][0]
                 tick += 1
         return out
 
+    def _ids(self, ids: tuple[int, ...]) -> bytes:
+        got = array(self.dtype.char, ids)
+        if sys.byteorder != "little":
+            got.byteswap()
+        return got.tobytes()
+
     def __missing__(self, s: str):
         found = self.search(s)
         best, ids = found[0]
-        other = tuple([(best - score, np.array(x, self.dtype).tobytes()) for score, x in found[1:]])
-        got = (best, np.array(ids, self.dtype).tobytes(), other[0][0] if other else np.inf, other)
+        other = tuple([(best - score, self._ids(x)) for score, x in found[1:]])
+        got = (best, self._ids(ids), other[0][0] if other else np.inf, other)
         if len(self) < MEMO:
             self[s] = got
         return got

@@ -55,6 +55,18 @@ def test_long_stretches_are_searched_alike(text):
         nbest.LONG = old
 
 
+def test_the_tree_holds_every_piece_and_nothing_else():
+    p, found, open_ = nbest.pieces(PIECES, 4), {}, [("", nbest.pieces(PIECES, 4).tree)]
+    while open_:
+        s, node = open_.pop()
+        for c, (after, score, ids) in node.items():
+            if ids is not None:
+                found[s + c] = score, ids
+            assert ids is not None or after
+            open_.append((s + c, after))
+    assert found == p.piece_ids
+
+
 def test_one_very_long_stretch_is_searched():
     p = nbest.pieces(PIECES, 3)
     text = "supercalifragilistic" * 5000
