@@ -57,6 +57,7 @@ Other columns of the input are ignored.
 from __future__ import annotations
 
 import math
+from itertools import filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,8 @@ FOLLOW, OWN, WEIGHT = 512, 448, 16.0
 #: Words that a worker keeps.
 MEMO = 400_000
 GROUP = 128
+#: Bytes of texts whose words are looked up together.
+GROUP_BYTES = 1 << 21
 #: Weights are summed as whole multiples of 1 / UNIT.
 UNIT = float(1 << 20)
 
@@ -126,6 +129,34 @@ def firsts_of(tokenizer: str) -> Firsts:
     return _firsts[tokenizer]
 
 
+# words
+
+#: A-Z as lower case, white space as blanks.
+FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b" " * 5)
+
+
+def split_words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(each word's number, the distinct words by number, how many words each text has), in the texts' order."""
+    raw = np.frombuffer(b" ".join([b"", *texts, b""]).translate(FOLD), np.uint8)
+    blank = raw == 32
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    start, stop = edge[::2], edge[1::2]
+    till = np.append(0, np.cumsum(stop - start))
+    small = till[-1] < 1 << 31
+    words = pa.Array.from_buffers(pa.binary() if small else pa.large_binary(), len(start), [None, pa.py_buffer(till.astype(np.int32 if small else np.int64)), pa.py_buffer(raw[~blank])])
+    found = words.dictionary_encode()
+    behind = np.cumsum([len(t) + 1 for t in texts])
+    return found.indices.to_numpy(), found.dictionary.cast(pa.binary()), np.diff(np.searchsorted(start, behind), prepend=0)
+
+
+def extended(held: np.ndarray, size: int, more: np.ndarray) -> np.ndarray:
+    """An array that has ``more`` behind the first ``size`` places of ``held``; what is behind those is free, so that few calls copy."""
+    if size + len(more) > len(held):
+        held = np.concatenate([held[:size], np.empty(size + 2 * len(more), held.dtype)])
+    held[size:size + len(more)] = more
+    return held
+
+
 # counts
 
 def mark_of(ids: np.ndarray) -> np.ndarray:
@@ -161,7 +192,7 @@ class _MetWhole(dict):
 
     def __init__(self, firsts: Firsts, end: int):
         self.firsts, self.new, self.count = firsts, [], 1
-        self.x, self.start, self.n = np.array([end]), np.array([0]), np.array([1])  # number 0 is the end of a text
+        self.x, self.start, self.n, self.size = np.array([end]), np.array([0]), np.array([1]), 1  # number 0 is the end of a text
 
     def __missing__(self, word: bytes) -> int:
         self.new.append(word)
@@ -173,8 +204,10 @@ class _MetWhole(dict):
         """The ids of words by number, one after another, and how many each has."""
         if self.new:
             more, n = laid_out(self.firsts.enc, self.new, self.firsts.none)
-            self.start = np.concatenate([self.start, np.cumsum(n) - n + len(self.x)])
-            self.x, self.n, self.new = np.concatenate([self.x, more]), np.concatenate([self.n, n]), []
+            at = self.count - len(n)
+            self.start = extended(self.start, at, np.cumsum(n) - n + self.size)
+            self.x, self.n, self.new = extended(self.x, self.size, more), extended(self.n, at, n), []
+            self.size += len(more)
         n = self.n[x]
         return self.x[ranges(self.start[x], n)], n
 
@@ -205,7 +238,7 @@ def gather(docs: DataFrame, tokenizer: str, inside: bool = False) -> DataFrame:
         firsts = firsts_of(tokenizer)
         size, end, _ = vocabulary(firsts.enc)
         met, texts, total = kind_of_met(firsts, end), 0, np.zeros(1, np.int64)
-        near, held, hashes, n = np.zeros(size * MARKS, np.int64), [], [], 0
+        near, held, hashes, n = np.zeros(size * MARKS, np.int64), [], [], 0  # held: texts of n bytes
         kinds = {"kind": pa.int32(), "key": pa.binary(), "n": pa.int64(), "h": pa.int64(), "line": pa.binary()}
 
         def rows(kind, **columns):
@@ -215,8 +248,10 @@ def gather(docs: DataFrame, tokenizer: str, inside: bool = False) -> DataFrame:
         def count():
             nonlocal total, held, hashes, n
             if held:
-                lengths = np.array([len(x) for x in held[::2]])
-                x = np.concatenate([np.zeros(COMPANY, np.int64), *held])
+                which, words, lengths = split_words(held)
+                x = np.zeros(len(which) + COMPANY * (len(held) + 1), np.int64)  # places of the end beside every text
+                words = words.to_numpy(zero_copy_only=False)
+                x[np.arange(len(which)) + COMPANY * np.repeat(np.arange(1, len(held) + 1), lengths)] = np.fromiter(map(met.__getitem__, words.tolist()), np.int64, len(words))[which]
                 more = np.bincount(x, minlength=len(met) + 1)
                 more[:len(total)] += total
                 total = more
@@ -231,12 +266,11 @@ def gather(docs: DataFrame, tokenizer: str, inside: bool = False) -> DataFrame:
 
         for b in batches:
             for h, t in zip(b.column(0).to_pylist(), b.column(1)):
-                chunks = t.as_py().lower().split()
-                held += [np.fromiter(map(met.__getitem__, chunks), np.int64, len(chunks)), np.zeros(COMPANY, np.int64)]
+                held.append(t.as_py())
                 hashes.append(h)
-                n += len(chunks)
+                n += len(held[-1])
                 texts += 1
-                if n > 1 << 18:
+                if n > GROUP_BYTES:
                     yield from count()
                     if len(met) > MEMO:
                         yield rows(0, key=list(met), n=total[1:])
@@ -318,8 +352,10 @@ def spelling(counts: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def laid_out(enc, words: list[bytes], none: int) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the words, one after another, and how many each has, at least one."""
-    parts = [enc[w] for w in words]
+    """All ids of the distinct words, one after another, and how many each has, at least one."""
+    enc.learn(list(filterfalse(enc.__contains__, words)))
+    parts = list(map(enc.__getitem__, words))
+    enc.more = {}
     n = np.fromiter(map(len, parts), np.int64, len(parts)) // enc.dtype.itemsize
     x = np.frombuffer(b"".join(parts), enc.dtype).astype(np.int64)
     if len(n) and not n.all():
@@ -382,81 +418,104 @@ def turned(x: np.ndarray) -> np.ndarray:
 
 
 def attend(w: dict, x: np.ndarray):
-    """Hidden states of (windows, positions, DIM) inputs; each position sees those up to it."""
-    n = x.shape[1]
-    qkv = (x.reshape(-1, DIM) @ w["qkv"]).reshape(*x.shape[:2], 3 * DIM)
-    q, k, v = (np.ascontiguousarray(qkv[:, :, i * DIM:(i + 1) * DIM]) for i in range(3))
+    """Hidden states of (windows, positions, DIM) inputs; each position sees those up to it. Then what a step needs: a position's
+    weights add up to more than 1, and the last array divides by their sum."""
+    n, flat = x.shape[1], x.reshape(-1, DIM)
+    q, k, v = ((flat @ m).reshape(x.shape) for m in split_columns(w["qkv"]))
     q *= x.dtype.type(DIM ** -0.5)
     s = exps(q @ turned(k), MASK[:n, :n])
     s *= SEEN[:n, :n]
-    s /= row_sums(s)
+    over = 1 / row_sums(s)
     o = s @ v
-    return x + (o.reshape(-1, DIM) @ w["o"]).reshape(x.shape), (q, k, v, s, o)
+    o *= over
+    return x + (o.reshape(-1, DIM) @ w["o"]).reshape(x.shape), (q, k, v, s, o, over)
 
 
-def summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Rows added up by number."""
-    out = np.empty((size, DIM), rows.dtype)
-    for i, column in enumerate(rows.T.astype(np.float64)):
-        out[:, i] = np.bincount(at, column, size)
-    return out
+def split_columns(m: np.ndarray) -> list[np.ndarray]:
+    return [np.ascontiguousarray(m[:, i:i + DIM]) for i in range(0, m.shape[1], DIM)]
 
 
-def step(w: dict, classes: np.ndarray, windows: np.ndarray) -> tuple[dict, float]:
-    """Gradient and mean loss of next-class prediction over windows of ids, -1 for none."""
-    target = windows[:, 1:].reshape(-1)
-    asked = target >= 0
-    ids = np.maximum(windows[:, :-1], 0).reshape(-1).astype(np.int64)
-    goal, c, h = classes[np.maximum(target, 0)], classes[ids], ids % HASHED
-    x = w["ec"][c]
-    x += w["er"][h]
+def summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Rows added up by number."""
+    cells = at[:, None] * DIM + np.arange(DIM)
+    return np.bincount(cells.reshape(-1), rows.reshape(-1), size * DIM).astype(rows.dtype).reshape(size, DIM)
+
+
+def step(w: dict, classes: np.ndarray, windows: np.ndarray, told: bool = True) -> tuple[dict, float]:
+    """Gradient and, if it is to be ``told``, mean loss of next-class prediction over windows of ids, -1 for none."""
+    asked = windows[:, 1:].reshape(-1) >= 0
+    ids = np.maximum(windows, 0)
+    among = classes.take(ids)
+    goal, c, h = among[:, 1:].reshape(-1), among[:, :-1].reshape(-1), ids[:, :-1].reshape(-1) % HASHED
+    x = w["ec"].take(c, 0)
+    x += w["er"].take(h, 0)
     x = x.reshape(len(windows), -1, DIM)
     x += w["p"][:x.shape[1]]
-    y, (q, k, v, a, o) = attend(w, x)
+    y, (q, k, v, a, o, over) = attend(w, x)
     y, flat_o = y.reshape(-1, DIM), o.reshape(-1, DIM)
     z = y @ w["g"]
     z += w["b"]
     exps(z)
     total = row_sums(z)[:, 0]
-    every = np.arange(len(z))
+    cell = np.arange(0, z.size, CLASSES)
+    goal = goal + cell  # of one window it is a view
     n = max(1, int(asked.sum()))
     share = (asked / n).astype(z.dtype)
-    loss = float(-np.log(np.maximum((z[every, goal] / total)[asked], 1e-30)).sum()) / n
+    loss = float(-np.log(np.maximum((z.reshape(-1)[goal] / total)[asked], 1e-30)).sum()) / n if told else math.nan
     z *= (share / total)[:, None]
-    z[every, goal] -= share
+    z.reshape(-1)[goal] -= share
     g = {"g": y.T @ z, "b": np.ones(len(z), z.dtype) @ z}
     dy = z @ w["g"].T
     g["o"] = flat_o.T @ dy
     do = (dy @ w["o"].T).reshape(x.shape)
+    do *= over
     ds = do @ turned(v)
     dv = a.transpose(0, 2, 1) @ do
     ds -= row_sums(do * o)  # a row of a, times its row of do @ v', adds up to this
     ds *= a
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
     dq *= x.dtype.type(DIM ** -0.5)
-    d3 = np.concatenate([dq, dk, dv], axis=2).reshape(-1, 3 * DIM)
-    g["qkv"] = x.reshape(-1, DIM).T @ d3
-    dx = d3 @ w["qkv"].T
-    dx += dy
+    dqkv = [d.reshape(-1, DIM) for d in (dq, dk, dv)]
+    x = x.reshape(-1, DIM)
+    g["qkv"] = np.concatenate([x.T @ d for d in dqkv], axis=1)
+    dx = dy
+    for d, m in zip(dqkv, split_columns(w["qkv"])):
+        dx += d @ m.T
     g["p"] = np.zeros_like(w["p"])
-    g["p"][:x.shape[1]] = dx.reshape(x.shape).sum(0)
-    g["ec"], g["er"] = summed(c, dx, CLASSES), summed(h, dx, HASHED)
+    g["p"][:do.shape[1]] = dx.reshape(do.shape).sum(0)
+    is_class = np.zeros(z.shape, z.dtype)
+    is_class.reshape(-1)[cell + c] = 1
+    g["ec"], g["er"] = is_class.T @ dx, summed(h, dx, HASHED)
     return g, loss
 
 
 class Adam:
+    """Weights ``w``, a copy of the given ones, and their steps."""
+
     def __init__(self, w: dict, rate: float):
-        self.w, self.rate, self.t = w, rate, 0
-        self.m = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in w.items()}
+        self.rate, self.t = rate, 0
+        self.flat = np.concatenate([x.reshape(-1) for x in w.values()])
+        cuts = np.cumsum([x.size for x in w.values()])[:-1]
+        self.w = {k: x.reshape(w[k].shape) for k, x in zip(w, np.split(self.flat, cuts))}
+        self.a, self.b, self.spare = (np.zeros_like(self.flat) for _ in range(3))
 
     def apply(self, g: dict) -> None:
         self.t += 1
         rate, fix = self.rate / (1 - 0.9 ** self.t), 1 / math.sqrt(1 - 0.99 ** self.t)
-        for k, x in self.w.items():
-            a, b = self.m[k]
-            a += 0.1 * (g[k] - a)
-            b += 0.01 * (g[k] ** 2 - b)
-            x -= rate * a / (np.sqrt(b) * fix + 1e-8)
+        g, a, b, x = np.concatenate([g[k].reshape(-1) for k in self.w]), self.a, self.b, self.spare
+        np.subtract(g, a, out=x)
+        x *= 0.1
+        a += x
+        np.multiply(g, g, out=x)
+        x -= b
+        x *= 0.01
+        b += x
+        np.sqrt(b, out=x)
+        x *= fix
+        x += 1e-8
+        np.multiply(a, rate, out=g)
+        g /= x
+        self.flat -= g
 
 
 def tiles(line: np.ndarray, end: int) -> np.ndarray:
@@ -472,7 +531,7 @@ class ShardTraining:
     """Trains on one shard's windows in the order in which they come, ``POOL`` shuffled at a time."""
 
     def __init__(self, w: dict, classes: np.ndarray):
-        self.opt, self.classes, self.rng = Adam({k: x.copy() for k, x in w.items()}, LATER_RATE), classes, np.random.default_rng(13)
+        self.opt, self.classes, self.rng = Adam(w, LATER_RATE), classes, np.random.default_rng(13)
         self.held, self.waiting, self.n = [], 0, 0
 
     def add(self, windows: np.ndarray) -> None:
@@ -489,7 +548,7 @@ class ShardTraining:
     def _train(self, pool: np.ndarray) -> None:
         pool = self.rng.permutation(pool)
         for i in range(0, len(pool), BATCH):
-            self.opt.apply(step(self.opt.w, self.classes, pool[i:i + BATCH])[0])
+            self.opt.apply(step(self.opt.w, self.classes, pool[i:i + BATCH], told=False)[0])
 
     def close(self) -> np.ndarray:
         """The weights times the number of windows, in units."""
@@ -533,8 +592,8 @@ def pretrained(w: dict, classes: np.ndarray, sample: np.ndarray) -> dict:
     for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(sample))) if len(sample) else 0):
         order = rng.permutation(len(sample))
         for i in range(0, len(order), BATCH):
-            opt.apply(step(w, classes, sample[order[i:i + BATCH]])[0])
-    return w
+            opt.apply(step(opt.w, classes, sample[order[i:i + BATCH]], told=False)[0])
+    return opt.w
 
 
 # scoring
@@ -617,12 +676,13 @@ class Scorer:
         need = np.ones(len(out), bool) if need is None else need
         goes = np.cumsum(given) - given
         lead = WINDOW - STRIDE
+        rows, goals = self.x.take(lines, 0), self.classes.take(lines)
         opening = np.flatnonzero(number == 0)
-        self._groups(opening, 0, which, offset, starts, given, goes, lines, need, out)
-        self._groups(np.flatnonzero(number), lead, which, offset, starts, given, goes, lines, need, out)
+        self._groups(opening, 0, which, offset, starts, given, goes, rows, goals, need, out)
+        self._groups(np.flatnonzero(number), lead, which, offset, starts, given, goes, rows, goals, need, out)
         return out
 
-    def _groups(self, chosen, lead, which, offset, starts, given, goes, lines, need, out):
+    def _groups(self, chosen, lead, which, offset, starts, given, goes, rows, goals, need, out):
         """Scores the positions from ``lead`` on of the chosen windows, a group at a time."""
         span = np.arange(WINDOW)
         w = self.w
@@ -630,23 +690,31 @@ class Scorer:
             t, o = which[chosen[i:i + GROUP]], offset[chosen[i:i + GROUP]]
             left = given[t] - o
             at = np.minimum(span, left[:, None] - 1) + (starts[t] + o)[:, None]
-            x = self.x[lines[at]]
+            x = rows.take(at.reshape(-1), 0).reshape(len(t), WINDOW, DIM)
             x += w["p"]
             q, k, v = ((x.reshape(-1, DIM) @ m).reshape(x.shape) for m in self.qkv)
             a = exps(q[:, lead:] @ turned(k), MASK[lead:])
             a *= SEEN[lead:]
             y = a @ v
             y /= row_sums(a)
-            # logits only where a word begins or is spelled
-            spot = np.minimum((goes[t] + o)[:, None] + span[lead:], len(out) - 1)
-            asked = (span[lead:] < left[:, None]) & need[spot]
-            h = x[:, lead:][asked] + y[asked] @ w["o"]
+            # logits only where a word begins or is spelled, but for a few where most are
+            spot = (goes[t] + o)[:, None] + span[lead:]
+            asked = span[lead:] < left[:, None]
+            asked &= need[np.minimum(spot, len(out) - 1)]
+            asked, spot, x, y, to = asked.reshape(-1), spot.reshape(-1), x[:, lead:].reshape(-1, DIM), y.reshape(-1, DIM), at[:, lead:].reshape(-1) + 1
+            part = np.count_nonzero(asked) < 0.8 * len(asked)
+            if part:
+                x, y, to = x[asked], y[asked], to[asked]
+            h = y @ w["o"]
+            h += x
             z = h @ w["g"]
             z += w["b"]
             if len(z) and (z.max() > 60 or z.min() < -60):
                 z -= z.max(-1, keepdims=True)
-            own = z[np.arange(len(z)), self.classes[lines[at[:, lead:][asked] + 1]]]
-            out[spot[asked]] = own - np.log(row_sums(np.exp(z, out=z))[:, 0])
+            own = z.reshape(-1).take(np.arange(0, z.size, CLASSES) + goals.take(to))
+            own -= np.log(row_sums(np.exp(z, out=z))[:, 0])
+            out[spot[asked]] = own if part else own[asked]
+
 
 def mixed(fame: np.ndarray, fresh: np.ndarray, c: np.ndarray) -> np.ndarray:
     """log10 of c * 10 ** fame + 10 ** fresh."""
@@ -694,7 +762,7 @@ class WholeMemo(Memo):
 
     def clear(self) -> None:
         dict.clear(self)
-        self.new, self.count = [], 1
+        self.new, self.count, self.size = [], 1, 1
         # number 0 is the end token
         self.x, self.start, self.n, self.c = np.array([self.scorer.end]), np.array([0]), np.array([1]), np.array([self.ends])
         self.fame, self.fixed, self.t, self.s = self.scorer.parts(self.x, self.n)
@@ -703,10 +771,11 @@ class WholeMemo(Memo):
         if not self.new:
             return
         x, n = laid_out(self.enc, self.new, self.none)
-        more = dict(zip(("fame", "fixed", "t", "s"), self.scorer.parts(x, n)), x=x, n=n, start=np.cumsum(n) - n + len(self.x))
-        more["c"] = np.fromiter((self.known.get(w, -1) for w in self.new), np.int64, len(n))
+        more = dict(zip(("fame", "fixed", "t", "s"), self.scorer.parts(x, n)), x=x, n=n, start=np.cumsum(n) - n + self.size)
+        more["c"] = np.fromiter(map(self.known.get, self.new, repeat(-1)), np.int64, len(n))
         for k, v in more.items():
-            setattr(self, k, np.concatenate([getattr(self, k), v]))
+            setattr(self, k, extended(getattr(self, k), self.size if k in ("x", "fixed", "t", "s") else self.count - len(n), v))
+        self.size += len(x)
         self.new = []
 
 
@@ -790,16 +859,17 @@ def score(docs: DataFrame, training: Column, tokenizer: str, inside: bool = Fals
             while i < rows:
                 if len(memo) > MEMO:
                     memo.clear()
-                held, words, n, j = [], [], 0, i
-                while j < rows and (j == i or n < 150_000):
-                    chunks = texts[j].as_py().lower().split()
-                    held += [np.fromiter(map(memo.__getitem__, chunks), np.int64, len(chunks)), [0]]
-                    words.append(chunks)
-                    n += len(chunks) + 1
+                held, n, j = [], 0, i
+                while j < rows and (j == i or n < GROUP_BYTES):
+                    held.append(texts[j].as_py())
+                    n += len(held[-1])
                     j += 1
+                which, words, per_text = split_words(held)
+                numbers = np.fromiter(map(memo.__getitem__, words.to_numpy(zero_copy_only=False).tolist()), np.int64, len(words))
                 memo.settle()
-                x = np.concatenate(held).astype(np.int64)
-                per_text = np.array([len(k) + 1 for k in words])
+                x = np.zeros(len(which) + len(held), np.int64)  # the end is behind every text
+                x[np.arange(len(which)) + np.repeat(np.arange(len(held)), per_text)] = numbers[which]
+                per_text = per_text + 1
                 starts = np.cumsum(per_text) - per_text
                 logs, fresh, mix = in_context(scorer, memo, x, starts)
                 c = memo.c[x]
@@ -812,11 +882,10 @@ def score(docs: DataFrame, training: Column, tokenizer: str, inside: bool = Fals
                 left = np.flatnonzero(rare)
                 if len(left):
                     whose = np.searchsorted(starts, left, side="right") - 1
-                    place = (left - starts[whose]).tolist()
                     at_of = b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
                     k = len(left)
                     yield pa.RecordBatch.from_pydict({
-                        "at": pa.array(at_of[whose]), "doc_id": pa.nulls(k, pa.int64()), "trained": pa.nulls(k, pa.bool_()), "word": pa.array([words[t][p] for t, p in zip(whose.tolist(), place)], pa.binary()),
+                        "at": pa.array(at_of[whose]), "doc_id": pa.nulls(k, pa.int64()), "trained": pa.nulls(k, pa.bool_()), "word": words.take(pa.array(which[left - whose])),
                         "fame": pa.array(logs[left] + memo.fame[x[left]]), "fresh": pa.array(logs[left] + fresh[left]),
                         "n_tokens": pa.nulls(k, pa.int64()), "n_known": pa.nulls(k, pa.int64()), "base": pa.nulls(k, pa.float64()), "mix": pa.nulls(k, pa.float64())})
                 i = j

@@ -28,6 +28,8 @@ TOGETHER, LEAST = 1 << 16, 1 << 12
 #: Bytes of texts whose new chunks are looked for together.
 GROUP_BYTES = 8_000_000
 NEVER = 1 << 30
+#: Slots of the table of pairs, as a power of two.
+SLOT_BITS = 19
 _encoders: dict = {}
 keeps("tokens", _encoders.clear)
 
@@ -44,58 +46,69 @@ class Merges:
 
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
         letters = _byte_letters()
-        self.first, self.last = (np.array([vocab[letters[b] + end] for b in range(256)]) for end in ("", suffix))
+        self.first, self.last = (np.array([vocab[letters[b] + end] for b in range(256)], np.int32) for end in ("", suffix))
         self.size = max(vocab.values()) + 1
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
-        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         order = np.argsort(keys)
-        self.keys, self.ranks = np.append(keys[order], 1 << 62), np.append(order, NEVER)
+        self.keys, self.ranks = np.append(keys[order], 1 << 62), np.append(order, NEVER).astype(np.int32)
         if len(np.unique(keys)) < len(keys):
             raise ValueError("a pair has two ranks")
+        self.slots = np.full(1 << SLOT_BITS, len(keys), np.int32)
+        slot, times = np.unique(self.slot(self.keys[:-1]), return_counts=True)
+        self.slots[self.slot(self.keys[:-1])] = np.arange(len(keys))
+        self.slots[slot[times > 1]] = -1
         every = np.concatenate([self.first, self.last])
-        self.begin = self.rank(np.repeat(self.first, 512), np.tile(every, 256)).reshape(256, 512)
+        self.begin = self.rank(np.repeat(self.first, 512), np.tile(every, 256))
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * self.size + b
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.ranks[at], NEVER)
+        key = a * np.int64(self.size) + b
+        at = self.slots[self.slot(key)]
+        out = np.where(self.keys[at] == key, self.ranks[at], NEVER)
+        shared = np.flatnonzero(at < 0)  # several keys have the slot
+        if len(shared):
+            key = key[shared]
+            at = np.searchsorted(self.keys, key)
+            out[shared] = np.where(self.keys[at] == key, self.ranks[at], NEVER)
+        return out
 
     def ids(self, raw: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many each piece has) of pieces of bytes; a piece's ids lie from its start on, the places behind them are free."""
-        out, n = np.empty(len(raw), np.int64), np.ones(len(sizes), np.int64)
-        for length in np.unique(sizes).tolist():
-            some = np.flatnonzero(sizes == length)
-            x = raw[start[some, None] + np.arange(length)].astype(np.int64)
+        out, n = np.empty(len(raw), np.int32), np.ones(len(sizes), np.int64)
+        by_size = np.argsort(sizes, kind="stable")
+        lengths, begin = np.unique(sizes[by_size], return_index=True)
+        for length, some in zip(lengths.tolist(), np.split(by_size, begin[1:])):
+            place = start[some]
+            x = raw[place[:, None] + np.arange(length)].astype(np.int64)
             follow = x[:, 1:].copy()
             follow[:, -1:] += 256
-            rank = self.begin[x[:, :-1], follow]
+            rank = self.begin[x[:, :-1] * 512 + follow]
             x = np.concatenate([self.first[x[:, :-1]], self.last[x[:, -1:]]], axis=1)
             while True:  # all rows that are left have merged as often, so they are as long
                 width = x.shape[1]
                 at = rank.argmin(1) if width > 1 else np.zeros(len(x), np.int64)
-                every = np.arange(len(x))
-                least = rank[every, at] if width > 1 else np.full(len(x), NEVER)
-                done = least == NEVER
-                if done.any():
-                    out[start[some[done], None] + np.arange(width)] = x[done]
+                least = rank[np.arange(len(x)), at] if width > 1 else np.full(len(x), NEVER)
+                go = least < NEVER
+                if not go.all():
+                    done = ~go
+                    out[place[done, None] + np.arange(width)] = x[done]
                     n[some[done]] = width
-                    go = ~done
-                    some, x, rank, at, least = some[go], x[go], rank[go], at[go], least[go]
+                    some, place, x, rank, at, least = some[go], place[go], x[go], rank[go], at[go], least[go]
                     if not len(some):
                         break
-                    every = np.arange(len(x))
+                every, before = np.arange(len(x)), np.arange(width - 1) <= at[:, None]
+                x = np.where(before, x[:, :-1], x[:, 1:])
                 x[every, at] = self.made[least]
-                keep = np.ones(x.shape, bool)
-                keep[every, at + 1] = False
-                x = x[keep].reshape(len(x), -1)
-                keep = np.ones(rank.shape, bool)
-                keep[every, at] = False
-                rank = rank[keep].reshape(len(x), -1)
-                i = np.flatnonzero(at > 0)
-                rank[i, at[i] - 1] = self.rank(x[i, at[i] - 1], x[i, at[i]])
-                i = np.flatnonzero(at < x.shape[1] - 1)
-                rank[i, at[i]] = self.rank(x[i, at[i]], x[i, at[i] + 1])
+                if width > 2:
+                    rank = np.where(before[:, 1:], rank[:, :-1], rank[:, 1:])
+                    i = np.flatnonzero(at > 0)
+                    rank[i, at[i] - 1] = self.rank(x[i, at[i] - 1], x[i, at[i]])
+                    i = np.flatnonzero(at < width - 2)
+                    rank[i, at[i]] = self.rank(x[i, at[i]], x[i, at[i] + 1])
         return out, n
 
 

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from sediment.llm import lm, nbest, quality, toxicity
+from sediment.llm import lm, nbest, quality, tokens, toxicity
 from sediment.llm.catalogue import PIECES, QUERIES, TOKENIZER
 from sediment.llm.common import crc_mod, table
 from tests.llm.conftest import ROWS
@@ -539,3 +539,63 @@ def test_lm_of_odd_documents(spark, odd, empty, training):
     assert len(got) == len(ROWS) and np.isfinite(got.score).all() and np.isfinite(got.base_score).all()
     assert sorted(got.n_tokens) == sorted(len((r[1] or "").encode().split()) + 1 for r in ROWS)
     assert lm.score(empty, F.lit(True), TOKENIZER).count() == 0
+
+
+@pytest.mark.parametrize("texts", [[b""], [b"", b" \n", b""], [b"A b\x0ba  \x0c", b"", "\u00c9T\u00c9 \x1c\x85 a".encode(), b"\t\rzz", b"a"]])
+def test_words_are_those_of_each_text(texts):
+    which, words, per_text = lm.split_words(texts)
+    words = [words[i].as_py() for i in which.tolist()]
+    want = [t.lower().split() for t in texts]
+    assert words == [w for t in want for w in t] and per_text.tolist() == [len(t) for t in want]
+
+
+@pytest.mark.parametrize("kind", ["_MetWhole", "WholeMemo"])
+def test_new_words_are_tokenized_together(kind, monkeypatch):
+    class Counted(tokens.Encoder):
+        calls = 0
+
+        def __missing__(self, word):
+            Counted.calls += 1
+            return super().__missing__(word)
+
+    enc, plain = Counted(TOKENIZER), lm.encoder(TOKENIZER)
+    rng = np.random.default_rng(4)
+    words = list({bytes(rng.integers(97, 123, 9).tolist()) + end for end in (b"", b",", b".") for _ in range(3000)})
+    size, end, none = lm.vocabulary(plain)
+    if kind == "_MetWhole":
+        firsts = lm.Firsts(enc)
+        met = lm._MetWhole(firsts, end)
+        numbers = np.array([met[w] for w in words])
+        ids, n = met.ids(numbers)
+    else:
+        ones = np.ones(size)
+        s = lm.Scorer(lm.first_weights(np.full(lm.CLASSES, 1 / lm.CLASSES)), np.arange(size) % lm.CLASSES, end, ones, np.tile(ones, 3), ones > 0, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        memo = lm.WholeMemo(enc, s, {}, 1)
+        numbers = []
+        for i in range(0, len(words), 4500):  # what is new is put behind what is there
+            numbers += [memo[w] for w in words[i:i + 4500]]
+            memo.settle()
+        at = np.array(numbers)
+        ids, n = memo.x[lm.ranges(memo.start[at], memo.n[at])], memo.n[at]
+    want = [np.frombuffer(plain[w], plain.dtype) for w in words]
+    assert n.tolist() == list(map(len, want)) and (ids == np.concatenate(want)).all()
+    assert Counted.calls < 100
+
+
+def test_step_on_one_window():
+    rng = np.random.default_rng(6)
+    classes, windows = rng.integers(0, lm.CLASSES, 40), rng.integers(0, 40, (1, lm.WINDOW + 1))
+    w = lm.first_weights(np.full(lm.CLASSES, 1 / lm.CLASSES))
+    one, two = lm.step(w, classes, windows), lm.step(w, classes, np.repeat(windows, 2, 0))
+    assert one[1] == pytest.approx(two[1], rel=1e-5)
+    for k in lm.SHAPES:
+        np.testing.assert_allclose(one[0][k], two[0][k], rtol=1e-3, atol=1e-5)
+
+
+def test_every_pair_has_its_rank():
+    m = tokens.Encoder(TOKENIZER).merges
+    a, b = m.keys[:-1] // m.size, m.keys[:-1] % m.size
+    assert (m.slots < 0).any() and (m.rank(a, b) == m.ranks[:-1]).all()
+    other = np.random.default_rng(8).integers(0, m.size, (2, 50_000))
+    known = dict(zip(m.keys.tolist(), m.ranks.tolist()))
+    assert m.rank(*other).tolist() == [known.get(k, tokens.NEVER) for k in (other[0] * m.size + other[1]).tolist()]
