@@ -64,7 +64,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sediment.llm.common import stage, text_bytes
-from sediment.llm.tokens import encoder
+from sediment.llm.tokens import TOGETHER, encoder
 
 WINDOW, STRIDE = 32, 24
 DIM, CLASSES, SINGLES, HASHED = 8, 32, 12, 2048
@@ -314,6 +314,19 @@ def clusters(near: np.ndarray, groups: int, rounds: int = 15) -> np.ndarray:
 GROUPS = CLASSES - SINGLES - 2
 
 
+def gathered_words(batches):
+    """(words, their counts) of many small batches at once."""
+    words, c = [], []
+    for b in batches:
+        words += b.column(0).to_numpy(zero_copy_only=False).tolist()
+        c.append(b.column(1).to_numpy(zero_copy_only=False))
+        if len(words) >= TOGETHER:
+            yield words, np.concatenate(c)
+            words, c = [], []
+    if words:
+        yield words, np.concatenate(c)
+
+
 def spelling(counts: DataFrame, tokenizer: str) -> DataFrame:
     """(kind, at, n) of all training words, summed.
 
@@ -328,9 +341,8 @@ def spelling(counts: DataFrame, tokenizer: str) -> DataFrame:
         def out(kind, at, n):
             return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(at), kind, np.int32)), "at": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64())})
 
-        for b in batches:
-            c = b.column(1).to_numpy(zero_copy_only=False)
-            x, n = laid_out(enc, b.column(0).to_pylist(), none)
+        for words, c in gathered_words(batches):
+            x, n = laid_out(enc, words, none)
             first = np.cumsum(n) - n
             np.add.at(total, x[first], c)
             alone, start = c == 1, np.zeros(len(x), bool)
@@ -893,10 +905,10 @@ def score(docs: DataFrame, training: Column, tokenizer: str, inside: bool = Fals
     rows = docs.select(F.monotonically_increasing_id().alias("at"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), F.coalesce(training, F.lit(False)).alias("trained"))
     found = stage(rows.mapInArrow(run, "at long, doc_id long, trained boolean, word binary, fame double, fresh double, n_tokens long, n_known long, base double, mix double"), "lm-scores")
     texts = found.where("word is null").drop("word", "fame", "fresh")
-    uncommon = stage(counts.where(~is_hot), "lm-uncommon")
+    uncommon = counts.where(~is_hot)
     c = F.coalesce("c", F.lit(0)).cast("double")
     p = F.when(c == 0, F.col("fresh")).otherwise(F.log10(c * F.pow(F.lit(10.0), "fame") + F.pow(F.lit(10.0), "fresh")))
-    rest = (stage(found.where("word is not null").select("at", "word", "fame", "fresh"), "lm-rare").join(uncommon, "word", "left")
+    rest = (found.where("word is not null").select("at", "word", "fame", "fresh").join(uncommon, "word", "left")
             .groupBy("at").agg(F.sum((c > 0).cast("long")).alias("k"), F.sum(F.log10((c + 1) / F.lit(float(room)))).alias("b"), F.sum(p).alias("m")))
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     return texts.join(rest, "at", "left").select(
