@@ -82,8 +82,8 @@ FOLLOW, OWN, WEIGHT = 512, 448, 16.0
 #: Words that a worker keeps.
 MEMO = 400_000
 GROUP = 128
-#: Bytes of texts whose words are looked up together.
-GROUP_BYTES = 1 << 21
+#: Bytes of texts whose words are looked up together in counting, and in scoring, which holds more for each.
+GROUP_BYTES, SCORED_BYTES = 1 << 21, 1 << 20
 #: Weights are summed as whole multiples of 1 / UNIT.
 UNIT = float(1 << 20)
 
@@ -872,7 +872,7 @@ def score(docs: DataFrame, training: Column, tokenizer: str, inside: bool = Fals
                 if len(memo) > MEMO:
                     memo.clear()
                 held, n, j = [], 0, i
-                while j < rows and (j == i or n < GROUP_BYTES):
+                while j < rows and (j == i or n < SCORED_BYTES):
                     held.append(texts[j].as_py())
                     n += len(held[-1])
                     j += 1
