@@ -143,11 +143,9 @@ def bloom_passing(spark, d):
     held = resolve.dedupe_segments(_events(spark, d)).select("seg", "key")
     asked = _asked(spark, d)
     others = asked.select(F.explode(F.array(*[F.concat("key", F.lit(f"-{i}")) for i in range(9)])).alias("key"))
-    got = bloom.passing(bloom.build(held), asked.unionByName(others)).withColumn("passed", F.lit(1))
-    all_of = got.join(held.withColumn("held", F.lit(1)), ["seg", "key"], "full").groupBy("seg").agg(
-        F.count("held").cast("long").alias("held"), F.expr("count_if(held = 1 and passed is null)").cast("long").alias("missed"), F.expr("count_if(held is null)").alias("_false"))
+    got = bloom.tally(held, bloom.build(held), asked.unionByName(others))
     room = asked.count() * 10
-    return all_of.select("seg", "held", "missed", (F.col("_false") <= 0.05 * room).alias("few_false"))
+    return got.select("seg", "held", (F.col("held") - F.col("found")).alias("missed"), (F.col("passed") - F.col("found") <= 0.05 * room).alias("few_false"))
 
 
 def _files(spark) -> Files:

@@ -102,6 +102,31 @@ def test_probes_meet_the_sketches_of_all_segments_by_an_equality(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_sketches_are_tested_in_bounded_tiles_with_equal_results(spark, monkeypatch):
+    held = spark.range(6000).selectExpr("if(id % 7 = 0, 99, id % 130) as seg", "concat('k', id % 700) as key", "1 as kind", "'v' as value").distinct()
+    sketch = bloom.build(held)
+    assert sketch.count() == 130 and sketch.where("octet_length(sketch) * 8 != bits").count() == 0  # a row a segment, not a row a bit
+    probes = held.select("key").distinct().unionByName(spark.range(3000).selectExpr("concat('no', id) as key")).unionByName(spark.createDataFrame([("k7",)], "key string"))
+
+    def bit_by_bit():
+        raw, keys = sketch.collect(), probes.select("key", bloom.hashed(F.col("key"), 7).alias("h")).distinct().collect()
+        return {(r["seg"], k["key"]) for r in raw for k in keys if all(r["sketch"][p >> 3] >> (p & 7) & 1 for p in (h % r["bits"] for h in k["h"]))}
+
+    want, mine = bit_by_bit(), {(r["seg"], r["key"]) for r in held.collect()}
+    assert mine <= want and len(want) > len(mine)
+    for bits, asked in ((1 << 25, 1 << 17), (1 << 13, 500)):
+        monkeypatch.setattr(bloom, "TILE_BITS", bits)
+        monkeypatch.setattr(bloom, "TILE_PROBES", asked)
+        assert sorted(map(tuple, bloom.passing(sketch, probes).collect())) == sorted(want)
+        for r in bloom.tally(held, sketch, probes).collect():
+            here = {k for s, k in want if s == r["seg"]}
+            assert r["passed"] == len(here) and r["held"] == r["found"] == len({k for s, k in mine if s == r["seg"]})
+        got = bloom.filtered_get(held, sketch, probes)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, held.join(probes, "key").select(*got.columns).collect()))
+    gone = sketch.withColumn("sketch", F.expr("unhex(repeat('00', int(bits / 8)))"))
+    assert bloom.filtered_get(held, gone, probes).count() == 0  # the sketches decide
+
+
 @pytest.mark.parametrize("rows, live, nxt", [
     ([(0, 0, 1, 1, 5), (0, 1, 1, 2, 5), (0, 2, 2, 1, None)], [2], 3), ([(0, 0, 1, 7, 5), (0, 1, 1, 3, 5)], [3, 7], 8), ([], [], 0),
     ([(0, 0, 1, 1, 5), (1, 0, 2, 1, None), (2, 0, 1, 1, 9)], [1], 2), ([(0, 0, 2, 4, None)], [], 0)])
