@@ -1,13 +1,16 @@
 """Byte-format files as DataFrames, and small files on any store that Spark reaches."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sediment.session import ship
 from sediment.sources import codec
+from sediment.sources.staging import folder as shared
 
 
 def _decoded(spark: SparkSession, path: str, glob: str, rows, schema: str) -> DataFrame:
@@ -130,6 +133,26 @@ class Files:
         how[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(self.path(old), self.path(new), how)
 
+    def adopt(self, folder: str, name: Callable[[str], str]) -> None:
+        """Moves the part files that Spark wrote below a folder to the names that their paths have."""
+        def move(old: str) -> None:
+            new = name(old)
+            if (parent := new.rpartition("/")[0]) not in made:
+                self._fs.mkdirs(self.path(parent))
+                made.add(parent)
+            self._replace(old, new)
+
+        found, made = [], set()
+        if self._fs.exists(self.path(folder)):
+            below = self._fs.listFiles(self.path(folder), True)
+            while below.hasNext():
+                old = below.next().getPath().toString()
+                if old.rpartition("/")[2].startswith("part-"):
+                    found.append(folder + old.rpartition(f"/{folder}")[2])
+        with ThreadPoolExecutor(8) as pool:
+            for _ in pool.map(move, found):
+                pass
+
     def list(self, folder: str) -> list[str]:
         p = self.path(folder)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(p)) if self._fs.exists(p) else []
@@ -142,14 +165,30 @@ class Files:
 
 
 def _write_each(rows: DataFrame, by: str, encode, files: Files, name) -> None:
-    """Writes one file for each value of ``by``: encoded by the executors, written one at a time by the driver, which never holds more."""
-    ship(rows.sparkSession)
+    """Writes one file for each value of ``by``: encoded and written by the executors, renamed by the driver, which sees names alone.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": [pdf[by].iloc[0]], "content": [encode(pdf)]})
+    Spark's text sink, which writes on any store, ends each row by a separator. A file's
+    last byte serves as its separator, so there is one write for each last byte that
+    occurs, at most 256. Files appear whole, by a rename, and aren't synced as a log's
+    appends are.
+    """
+    spark = ship(rows.sparkSession)
 
-    for r in rows.groupBy(by).applyInPandas(run, "id long, content binary").toLocalIterator():
-        files.write(name(r["id"]), bytes(r["content"]))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        content = encode(pdf)
+        return pd.DataFrame({"id": [pdf[by].iloc[0]], "content": [content[:-1]], "last": [content[-1]]})
+
+    encoded, tmp = Files(spark, shared(spark, "encoded")), f".writing-{uuid.uuid4().hex}"
+    try:
+        rows.groupBy(by).applyInPandas(run, "id long, content binary, last int").write.partitionBy("last").parquet(encoded.root)
+        made = spark.read.schema("id long, content binary, last int").parquet(encoded.root)
+        for (last,) in made.select("last").distinct().collect():  # at most 256
+            lines = made.where(F.col("last") == last).select("id", F.col("content").cast("string").alias("value"))
+            lines.write.option("encoding", "ISO-8859-1").option("lineSep", chr(last)).option("compression", "none").partitionBy("id").text(f"{files.root}/{tmp}/{last}")
+        files.adopt(tmp, lambda path: name(int(path.split("/")[-2].removeprefix("id="))))
+    finally:
+        encoded.delete("")
+        files.delete(tmp)
 
 
 def _raw(x) -> bytes | None:

@@ -127,3 +127,28 @@ def test_byte_format_segments_round_trip(spark, tmp_path):
     got = read_sstables(spark, str(tmp_path))
     assert got.exceptAll(df).count() == 0 and got.count() == len(rows)
     assert spark.createDataFrame([(bytearray(b"a\xffb"),)], "v binary").select(printable(F.col("v"))).first()[0] == "a�b"
+
+
+def test_files_are_written_by_the_executors_byte_for_byte(spark, tmp_path, monkeypatch):
+    """The driver renames files and gets none of their bytes, whatever byte a file ends with."""
+    def refused(*_):
+        raise AssertionError("a file's bytes came to the driver")
+
+    for name in ("write", "log"):
+        monkeypatch.setattr(Files, name, refused)
+    monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", refused)
+    ends = [0, 9, 10, 13, 92, 127, 128, 195, 255]
+    rows = [(i, 10 * i + j, 1, bytearray(b"k\n%d" % j), bytearray(b"\r\n\x00\xff" * j + bytes([end]))) for i, end in enumerate(ends) for j in (2, 1)]
+    there = Files(spark, str(tmp_path))
+    log = spark.createDataFrame(rows, "seg long, seq long, kind int, key binary, value binary")
+    for _ in range(2):  # the second time over the first's files
+        files.write_wals(log, there, "wal")
+    assert sorted(os.listdir(tmp_path)) == ["wal"] and sorted(os.listdir(tmp_path / "wal")) == [f"wal_{i}.log" for i in range(len(ends))]
+    for i in range(len(ends)):
+        want = b"".join(files.codec.encode_wal(seq, kind, bytes(k), bytes(v)) for s, seq, kind, k, v in sorted(rows, key=lambda r: r[1]) if s == i)
+        assert (tmp_path / "wal" / f"wal_{i}.log").read_bytes() == want
+    got = files.read_wal(spark, str(tmp_path / "wal")).select("wal_id", "seq", "kind", "key", "value")
+    assert sorted((*r[:3], bytes(r[3]), bytes(r[4])) for r in got.collect()) == sorted((*r[:3], bytes(r[3]), bytes(r[4])) for r in rows)
+    write_sstables(log.select(log.seg.alias("file_id"), "key", "kind", "value"), there, "sst")
+    assert read_sstables(spark, str(tmp_path / "sst")).count() == len(rows)
+    write_sstables(log.limit(0).select(log.seg.alias("file_id"), "key", "kind", "value"), there, "none")
