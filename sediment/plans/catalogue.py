@@ -11,7 +11,7 @@ from sediment.plans import recovery, workloads
 from sediment.session import ship
 from sediment.sources import codec
 from sediment.sources.files import Files, read_manifests, read_sstables, read_wal, write_manifests, write_sstables, write_wals
-from sediment.sources.staging import folder
+from sediment.sources.staging import folder, staged
 
 
 def _events(spark: SparkSession, d: str, per_segment: int = 50) -> DataFrame:
@@ -134,13 +134,13 @@ def block_floor(spark, d):
 
 
 def bloom_get(spark, d):
-    held = resolve.dedupe_segments(_events(spark, d))
+    held = staged(resolve.dedupe_segments(_events(spark, d)), "held")
     return bloom.filtered_get(held, bloom.build(held), _asked(spark, d)).select("seg", "key", "kind", "value")
 
 
 def bloom_passing(spark, d):
     """What the sketches let through of ten times the keys that there are: all held ones, and few others."""
-    held = resolve.dedupe_segments(_events(spark, d)).select("seg", "key")
+    held = staged(resolve.dedupe_segments(_events(spark, d)).select("seg", "key"), "held")
     asked = _asked(spark, d)
     others = asked.select(F.explode(F.array(*[F.concat("key", F.lit(f"-{i}")) for i in range(9)])).alias("key"))
     got = bloom.tally(held, bloom.build(held), asked.unionByName(others))
